@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, tokenize
+from lectern.llm import format_dups, packing, tokenize
 from lectern.session import cut, read_table
 
 QUERIES: dict = {}
@@ -46,3 +46,16 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     per = each.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.sum("pieces").alias("pieces"), F.max("tokens").alias("fullest"))
     least = F.ceil(F.col("tokens") / F.col("capacity_tokens"))
     return per.join(specs, "spec_id").select("spec_id", "containers", least.alias("least_containers"), "tokens", "pieces", "fullest", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6).alias("fill"))
+
+
+# --- 6: copies hidden by formatting -------------------------------------------------------------------------------------------------
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return format_dups.copies(read_table(spark, d, "processed_texts"))
+
+
+@query
+def p6_records(spark: SparkSession, d: str) -> DataFrame:
+    return format_dups.groups(read_table(spark, d, "processed_texts")).select("id_first", "n_copies")
