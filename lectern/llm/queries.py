@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import format_dups, packing, tokenize
+from lectern.llm import format_dups, packing, sentences, splitting, tokenize
 from lectern.session import cut, read_table
 
 QUERIES: dict = {}
@@ -59,3 +59,33 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return format_dups.groups(read_table(spark, d, "processed_texts")).select("id_first", "n_copies")
+
+
+# --- 3: sentence units --------------------------------------------------------------------------------------------------------------
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(read_table(spark, d, "processed_texts")).select("id", "start_char", "end_char")
+
+
+# --- 4: pieces within the models' limits --------------------------------------------------------------------------------------------
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_texts(read_table(spark, d, "processed_texts"), read_table(spark, d, "model_catalog"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).where("range_no = 0 AND no_in_range = 0").select("id", "model_id")
+
+
+@query
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.numbered(_split(spark, d))
+
+
+ORACLES["p4_found"] = """
+  SELECT DISTINCT t.id, m.model_id FROM processed_texts t JOIN model_catalog m ON t.domain = m.domain WHERE length(t.text) > m.max_sequence_length AND m.max_sequence_length > 0
+"""
