@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import format_dups, packing, sentences, splitting, tokenize
+from lectern.llm import consensus, format_dups, packing, sentences, splitting, tokenize
 from lectern.session import cut, read_table
 
 QUERIES: dict = {}
@@ -89,3 +89,23 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
 ORACLES["p4_found"] = """
   SELECT DISTINCT t.id, m.model_id FROM processed_texts t JOIN model_catalog m ON t.domain = m.domain WHERE length(t.text) > m.max_sequence_length AND m.max_sequence_length > 0
 """
+
+
+# --- 5: consensus of annotators -----------------------------------------------------------------------------------------------------
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = consensus.consensus(read_table(spark, d, "model_entities"))
+    return found.where("n_models >= 2 AND entity_type <> 'NONE'").select("doc_id", "start_char", "end_char", "entity_type")
+
+
+@query
+def p5_mentions(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(read_table(spark, d, "model_entities"))[0]
+
+
+@query
+def p5_reliability(spark: SparkSession, d: str) -> DataFrame:
+    _, table = consensus.consensus(read_table(spark, d, "model_entities"))
+    return spark.createDataFrame(table, "model_ord int, right_when_reported double, share_found double, repeats_another double")
