@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import consensus, format_dups, packing, sentences, splitting, tokenize
+from lectern.llm import consensus, format_dups, packing, sentences, splitting, subjects, tokenize
 from lectern.session import cut, read_table
 
 QUERIES: dict = {}
@@ -109,3 +109,26 @@ def p5_mentions(spark: SparkSession, d: str) -> DataFrame:
 def p5_reliability(spark: SparkSession, d: str) -> DataFrame:
     _, table = consensus.consensus(read_table(spark, d, "model_entities"))
     return spark.createDataFrame(table, "model_ord int, right_when_reported double, share_found double, repeats_another double")
+
+
+# --- 10: subject areas --------------------------------------------------------------------------------------------------------------
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    documents = read_table(spark, d, "documents")
+    classifier = subjects.fit(documents, read_table(spark, d, "subject_labels"), read_table(spark, d, "subjects"))
+    return subjects.assign(documents, classifier)
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d)
+
+
+@query
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents about it, and their share of all documents with a text."""
+    found = _subjects(spark, d)
+    per = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
+    texts = read_table(spark, d, "documents").where(r"text RLIKE '(?s).*\\S.*'").agg(F.count(F.lit(1)).alias("all"))
+    return per.crossJoin(F.broadcast(texts)).select("subject", "documents", F.round(F.col("documents") / F.col("all"), 6).alias("share"))
