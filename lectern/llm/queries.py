@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import consensus, format_dups, packing, sentences, splitting, subjects, tokenize
+from lectern.llm import consensus, format_dups, names, packing, sentences, splitting, subjects, tokenize
 from lectern.session import cut, read_table
 
 QUERIES: dict = {}
@@ -132,3 +132,27 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     per = found.groupBy("subject").agg(F.count(F.lit(1)).alias("documents"))
     texts = read_table(spark, d, "documents").where(r"text RLIKE '(?s).*\\S.*'").agg(F.count(F.lit(1)).alias("all"))
     return per.crossJoin(F.broadcast(texts)).select("subject", "documents", F.round(F.col("documents") / F.col("all"), 6).alias("share"))
+
+
+# --- 1: spellings of names ----------------------------------------------------------------------------------------------------------
+
+
+def _name_rows(spark: SparkSession, d: str) -> DataFrame:
+    cache = read_table(spark, d, "kb_entity_cache").select(F.lit("kb_entity_cache").alias("src"), F.col("id").alias("row_id"), F.col("entity_text").alias("spelling"))
+    return cache.unionByName(read_table(spark, d, "enriched_entities").select(F.lit("enriched_entities").alias("src"), F.col("id").alias("row_id"), F.col("text").alias("spelling")))
+
+
+def _resolved(spark: SparkSession, d: str) -> DataFrame:
+    records = read_table(spark, d, "kb_entities").where("entity_type IN ('PERSON', 'ORG')").select("entity_id", "text", "synonyms")
+    return names.resolve(_name_rows(spark, d).select("spelling"), records)
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _name_rows(spark, d).join(_resolved(spark, d).select("spelling", "entity_id"), "spelling").select("src", "row_id", "entity_id")
+
+
+@query
+def p1_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of spellings: each spelling with its component, the record it means and the score."""
+    return _resolved(spark, d).select("component", "entity_id", "spelling", F.round("score", 6).alias("score"))
