@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lectern.plans import core_queries
+from lectern.plans import annotation_queries, core_queries, relational_queries
 
-FLAGSHIP = "p7_sessions"
-QUERIES = dict(core_queries.QUERIES)
-ORACLES = dict(core_queries.ORACLES)
+FLAGSHIP = "entity_histogram"
+_MODULES = (core_queries, relational_queries, annotation_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
