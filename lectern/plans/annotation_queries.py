@@ -391,3 +391,19 @@ def hops_over_regions(s: SparkSession, d: str) -> DataFrame:
     b = c.select(F.concat(F.lit("n:"), F.col("c_nationkey").cast("string")).alias("source_id"), F.concat(F.lit("c:"), F.col("c_custkey").cast("string")).alias("target_id"))
     h = knowledge.hops(a.unionByName(b), a.select("source_id"), 2).where("hops = 2")
     return h.select(F.substring("source_id", 3, 1000).alias("source_id"), F.substring("target_id", 3, 1000).cast("long").alias("c_custkey"), "hops")
+
+
+# --- the whole pipeline -----------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
+    """The medical pipeline over the texts: the models' stored reports merged, rules, lookup, one row for each document."""
+    from lectern.plans.pipeline import Pipeline
+
+    stored = _model_entities(s, d)
+    p = Pipeline("medical", kb=read_table(s, d, "kb_entities"), chain=s.createDataFrame([(k, i) for i, k in enumerate(CHAIN)], "kb_id string, rank int"))
+    for k in (2, 3):
+        p.add_model(f"model-{k}", lambda docs, k=k: stored.where(F.col("model_ord") == k).select("doc_id", "ent_ord", "text", "type", "start", "end", "confidence"), 0.8)
+    docs = _texts(s, d).where("domain = 'medical'").select(F.col("id").alias("doc_id"), "text")
+    return p.documents(docs).select("doc_id", F.size("entities").alias("n_entities"), "kb_hit_rate")
