@@ -38,19 +38,20 @@ def score(max_latency: float, preferred: Sequence[str], types: Sequence[str]) ->
 
 
 def ranked(catalog: DataFrame, domain: str, min_f1: float, max_latency: float, preferred: Sequence[str], types: Sequence[str]) -> DataFrame:
-    """Models of a domain that meet the criteria, all of them if none does, best first; ties go by catalog order. Adds score and position."""
-    d = catalog.where(F.col("domain") == domain).withColumn("meets", matches(min_f1, max_latency, types))
+    """Models of a domain within the limits of accuracy and latency that meet the other criteria too, or all within the limits if none does,
+    best first; ties go by catalog order. Adds score and position."""
+    d = query(catalog, domain=domain, min_f1=min_f1, max_latency=max_latency).withColumn("meets", matches(min_f1, max_latency, types))
     d = d.withColumn("any_meets", F.max("meets").over(Window.partitionBy("domain"))).where("meets OR NOT any_meets")
     d = d.withColumn("score", F.round(score(max_latency, preferred, types), 6))
     return d.withColumn("position", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("score"), "catalog_ord"))).drop("any_meets")
 
 
 def query(catalog: DataFrame, provider: str | None = None, domain: str | None = None, min_f1: float | None = None, max_latency: float | None = None, types: Sequence[str] = ()) -> DataFrame:
-    """Rows by provider, else by domain, else all, that keep the limits given."""
+    """Rows of the provider and domain given, that keep the limits given."""
     d = catalog
     if provider:
         d = d.where(F.col("provider") == provider)
-    elif domain:
+    if domain:
         d = d.where(F.col("domain") == domain)
     if min_f1 is not None:
         d = d.where(F.col("performance.f1_score") >= min_f1)
