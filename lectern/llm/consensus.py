@@ -146,15 +146,16 @@ def _start(agree: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     skill_pair = np.clip((rate - base) / (1 - base), 0.02, 0.999)
     log = np.log(skill_pair)
     use = (both > 0) & ~np.eye(k, dtype=bool)
+    # two others u, v that work alone give w's skill: agreement with each, over that of the two; the median passes over those that repeat
     t = np.full(k, np.log(0.8))
-    drop = np.zeros((k, k), bool)
-    for _ in range(60):
-        ok = use & ~drop
-        for w in range(k):
-            if ok[w].any():
-                t[w] = min(np.log(0.98), np.median((log[w] - t)[ok[w]]))
-        rest = np.where(use, log - t[:, None] - t[None, :], 0)
-        drop = rest > 0.12
+    for w in range(k):
+        others = [u for u in range(k) if use[w, u]]
+        seen = [(log[w, u] + log[w, v] - log[u, v]) / 2 for i, u in enumerate(others) for v in others[i + 1 :] if use[u, v]]
+        if seen:
+            t[w] = min(np.log(0.98), np.median(seen))
+    expected = base + (1 - base) * np.exp(np.minimum(t[:, None] + t[None, :], 0))
+    chance = np.sqrt(expected * (1 - expected) / np.maximum(both, 1))
+    drop = use & (rate - expected > 0.05 + 3 * chance)
     together = np.exp(np.minimum(t[:, None] + t[None, :], 0))
     repeats = np.where(drop, np.clip((skill_pair - together) / (1 - together), 0, 1), 0)
     repeats[repeats < 0.25] = 0
