@@ -51,6 +51,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lanes(spark: SparkSession) -> int:
+    """Partitions for stages whose work is far more than their bytes tell, which adaptive execution would merge into one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the checkpoint folder and cuts its lineage.
 
