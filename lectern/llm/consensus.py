@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.session import cut
+from lectern.session import cut, lanes
 
 CLASSES = ("NONE", "PERSON", "ORG", "DRUG", "GPE", "CODE")
 # Ways in which annotators write the types.
@@ -359,8 +359,9 @@ def consensus(df: DataFrame) -> tuple[DataFrame, list[tuple[int, float, float, f
     items, models = mentions(df)
     if not models:
         return df.sparkSession.createDataFrame([], "doc_id long, start_char int, end_char int, entity_type string, n_models int, agreement double, certainty double"), []
-    items = cut(items.select("doc_id", "pattern", "said"))
-    patterns = cut(items.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    n = lanes(df.sparkSession)
+    items = cut(items.select("doc_id", "pattern", "said").repartition(n))
+    patterns = cut(items.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).repartition(n, "pattern"))
     model, _ = fit(patterns, len(models))
     p = np.exp(model.sigma - model.sigma.max(axis=2, keepdims=True))
     p /= p.sum(axis=2, keepdims=True)
