@@ -212,8 +212,9 @@ def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str =
     if not names:
         return Classifier([], np.zeros((0, 0), "float32"), np.zeros(0), np.zeros(0))
     given = labels.where(f"`{key}` IS NOT NULL AND subject IS NOT NULL").groupBy(F.col(key).alias("doc")).agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    # at most MAX_LABELLED rows, so the texts need not move to meet them
     given = given.orderBy(F.xxhash64("doc"), "doc").limit(MAX_LABELLED)
-    chosen = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL").join(given, "doc")
+    chosen = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text IS NOT NULL").join(F.broadcast(given), "doc")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
