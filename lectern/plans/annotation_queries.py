@@ -10,7 +10,7 @@ from lectern.functions import text as T
 from lectern.operators import annotate, catalog, ensemble, knowledge, tei
 from lectern.operators.flatten import flatten_tables
 from lectern.operators.patterns import Rule, candidates, extract, normalised_entity, resolved, rules_of, spans, valid_entity
-from lectern.session import read_table
+from lectern.session import read_table, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,13 +43,13 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 @query()
 def entity_histogram(s: SparkSession, d: str) -> DataFrame:
     """Structured entities of the corpus by type, by the general rules: the flagship."""
-    found = extract(read_table(s, d, "documents").where("text IS NOT NULL"), rules_of("general"), "doc_id", "text")
+    found = extract(spread(read_table(s, d, "documents").where("text IS NOT NULL").select("doc_id", "text")), rules_of("general"), "doc_id", "text")
     return found.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(coalesce(sum(len(regexp_extract_all(text, '{_sql(p)}'))), 0) AS BIGINT) AS n FROM documents" for n, p in _GENERAL.items() if n in ("email", "url", "date_iso")))
 def pattern_counts_general(s: SparkSession, d: str) -> DataFrame:
-    docs = read_table(s, d, "documents").select("text")
+    docs = spread(read_table(s, d, "documents").select("text"))
     names = [n for n in _GENERAL if n in ("email", "url", "date_iso")]
     sums = docs.agg(*(F.coalesce(F.sum(F.size(spans(F.col("text"), Rule(n, _GENERAL[n])))), F.lit(0)).alias(n) for n in names))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).cast("long").alias("n")) for n in names))).alias("r")).select("r.*")
@@ -57,7 +57,7 @@ def pattern_counts_general(s: SparkSession, d: str) -> DataFrame:
 
 def _pattern_query(domain: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        return extract(_texts(s, d).where("text IS NOT NULL"), rules_of(domain), "id", "text")
+        return extract(spread(_texts(s, d).where("text IS NOT NULL").select("id", "text")), rules_of(domain), "id", "text")
 
     return run
 
@@ -129,7 +129,7 @@ def token_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def _annotated(s: SparkSession, d: str) -> DataFrame:
-    return annotate.annotated(_texts(s, d).where("text IS NOT NULL"), "id", "text", rules_of("general"))
+    return annotate.annotated(spread(_texts(s, d).where("text IS NOT NULL").select("id", "text")), "id", "text", rules_of("general"))
 
 
 @query()
@@ -144,7 +144,7 @@ def document_statistics(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dependency_edges(s: SparkSession, d: str) -> DataFrame:
-    t = flatten_tables("tokens", (_texts(s, d).select("id", "nlp_results"), "id", "nlp_results", "processed_texts"))
+    t = flatten_tables("tokens", (spread(_texts(s, d).select("id", "nlp_results")), "id", "nlp_results", "processed_texts"))
     t = t.select("row_id", F.expr("try_cast(i AS INT)").alias("i"), F.expr("try_cast(head AS INT)").alias("head"), F.coalesce("dep", F.when(F.col("head") != F.col("i"), "dep")).alias("dep"), "text", "pos")
     return annotate.dependency_edges(t.where("i IS NOT NULL AND head IS NOT NULL"), ["row_id"])
 
@@ -367,7 +367,7 @@ def kb_hit_rate(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kb_relationship_hops(s: SparkSession, d: str) -> DataFrame:
-    r = flatten_tables("relationships", (_texts(s, d).select("id", "nlp_results"), "id", "nlp_results", "processed_texts"))
+    r = flatten_tables("relationships", (spread(_texts(s, d).select("id", "nlp_results")), "id", "nlp_results", "processed_texts"))
     edges = r.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id").distinct()
     return knowledge.hops(edges, edges.select("source_id").distinct(), 2)
 

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from lectern.operators.flatten import flatten_tables
 from lectern.operators.sessions import sessionize
-from lectern.session import read_table
+from lectern.session import read_table, spread
 
 GAP_SECONDS = 1800
 
 
 def _json_tables(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str, str]]:
-    return [(read_table(spark, d, "processed_texts").select("id", "nlp_results"), "id", "nlp_results", "processed_texts"), (read_table(spark, d, "background_tasks").select("id", "result"), "id", "result", "background_tasks")]
+    return [(spread(read_table(spark, d, "processed_texts").select("id", "nlp_results")), "id", "nlp_results", "processed_texts"), (read_table(spark, d, "background_tasks").select("id", "result"), "id", "result", "background_tasks")]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

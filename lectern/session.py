@@ -56,6 +56,12 @@ def lanes(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a small file of long texts is one partition otherwise. Large tables stay as read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the checkpoint folder and cuts its lineage.
 
