@@ -310,12 +310,12 @@ def catalog_trust(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "WITH m AS (SELECT *, coalesce(performance.f1_score >= 0.75 AND performance.latency_ms <= 150 AND coalesce(size_mb, 0) <= 8000 AND trusted AND list_has_all(entity_types, ['PERSON', 'ORG']), false) AS meets FROM model_catalog WHERE domain = 'general' AND performance.f1_score >= 0.75 AND performance.latency_ms <= 150), k AS (SELECT *, max(meets) OVER () AS any_meets FROM m),"
-    " s AS (SELECT model_id, catalog_ord, round(performance.f1_score * 50 + greatest(0, 30 * (1 - performance.latency_ms / 150)) + CASE WHEN trusted THEN 10 ELSE 0 END + CASE WHEN provider = 'openquarry' THEN 5 ELSE 0 END + len(list_intersect(entity_types, ['PERSON', 'ORG'])) / 2 * 5, 6) AS score FROM k WHERE meets OR NOT any_meets)"
+    "WITH m AS (SELECT *, coalesce(performance.f1_score >= 0.6 AND performance.latency_ms <= 300 AND coalesce(size_mb, 0) <= 8000 AND trusted AND list_has_all(entity_types, ['PERSON', 'ORG']), false) AS meets FROM model_catalog WHERE domain = 'general' AND performance.f1_score >= 0.6 AND performance.latency_ms <= 300), k AS (SELECT *, max(meets) OVER () AS any_meets FROM m),"
+    " s AS (SELECT model_id, catalog_ord, round(performance.f1_score * 50 + greatest(0, 30 * (1 - performance.latency_ms / 300)) + CASE WHEN trusted THEN 10 ELSE 0 END + CASE WHEN provider = 'openquarry' THEN 5 ELSE 0 END + len(list_intersect(entity_types, ['PERSON', 'ORG'])) / 2 * 5, 6) AS score FROM k WHERE meets OR NOT any_meets)"
     " SELECT model_id, score, CAST(row_number() OVER (ORDER BY score DESC, catalog_ord) AS INTEGER) AS position FROM s"
 )
 def catalog_rank(s: SparkSession, d: str) -> DataFrame:
-    return catalog.ranked(_catalog(s, d), "general", 0.75, 150.0, ["openquarry"], ["PERSON", "ORG"]).select("model_id", "score", "position")
+    return catalog.ranked(_catalog(s, d), "general", 0.6, 300.0, ["openquarry"], ["PERSON", "ORG"]).select("model_id", "score", "position")
 
 
 @query()
