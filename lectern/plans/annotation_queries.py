@@ -227,8 +227,9 @@ def certainty_buckets(s: SparkSession, d: str) -> DataFrame:
 
 
 def _model_entities(s: SparkSession, d: str) -> DataFrame:
+    """All typed reports with their models' weights. A report without confidence counts as 1.0, the default of the reference's Entity."""
     weights = F.broadcast(read_table(s, d, "model_catalog").select(F.col("catalog_ord").alias("model_ord"), F.col("performance.f1_score").alias("weight")).limit(10_000))
-    m = read_table(s, d, "model_entities").where("confidence IS NOT NULL AND entity_type IS NOT NULL")
+    m = read_table(s, d, "model_entities").where("entity_type IS NOT NULL").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
     return m.select("doc_id", "model_ord", "ent_ord", "text", F.col("entity_type").alias("type"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "confidence").join(weights, "model_ord", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 
 
