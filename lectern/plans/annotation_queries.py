@@ -10,7 +10,8 @@ from lectern.functions import text as T
 from lectern.operators import annotate, catalog, ensemble, knowledge, tei
 from lectern.operators.flatten import flatten_tables
 from lectern.operators.patterns import Rule, candidates, extract, normalised_entity, resolved, rules_of, spans, valid_entity
-from lectern.session import read_table, spread
+from lectern.plans.core_queries import json_tables
+from lectern.session import cut, read_table, spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -368,8 +369,9 @@ def kb_hit_rate(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kb_relationship_hops(s: SparkSession, d: str) -> DataFrame:
-    r = flatten_tables("relationships", (spread(_texts(s, d).select("id", "nlp_results")), "id", "nlp_results", "processed_texts"))
-    edges = r.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id").distinct()
+    r = flatten_tables("relationships", *json_tables(s, d))
+    # the walk reads the edges several times; without the cut each reading parses all JSON again
+    edges = cut(r.where("source_id IS NOT NULL AND target_id IS NOT NULL").select("source_id", "target_id").distinct())
     return knowledge.hops(edges, edges.select("source_id").distinct(), 2)
 
 

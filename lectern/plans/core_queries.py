@@ -12,17 +12,17 @@ from lectern.session import read_table, spread
 GAP_SECONDS = 1800
 
 
-def _json_tables(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str, str]]:
+def json_tables(spark: SparkSession, d: str) -> list[tuple[DataFrame, str, str, str]]:
     return [(spread(read_table(spark, d, "processed_texts").select("id", "nlp_results")), "id", "nlp_results", "processed_texts"), (read_table(spark, d, "background_tasks").select("id", "result"), "id", "result", "background_tasks")]
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return flatten_tables("entity_relationships", *_json_tables(spark, d))
+    return flatten_tables("entity_relationships", *json_tables(spark, d))
 
 
 def _p2(level: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return flatten_tables(level, *_json_tables(spark, d))
+        return flatten_tables(level, *json_tables(spark, d))
 
     return run
 

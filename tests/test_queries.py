@@ -1,5 +1,7 @@
 """Registered queries over small tables of their own: that no row is left out."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from lectern.plans.registry import QUERIES
@@ -24,3 +26,11 @@ def test_votes_keep_reports_without_confidence(spark, tmp_path):
     assert [r.agreement for r in QUERIES["ensemble_agreement"](spark, str(tmp_path)).collect()] == [round((2 / 3 + 1 / 3 * 0.5) / 2, 6)]
     kept = QUERIES["ensemble_by_strategy"](spark, str(tmp_path)).groupBy("strategy").agg(F.sum("n").alias("n")).collect()
     assert {r.strategy: r.n for r in kept} == {"majority_vote": 2, "weighted_vote": 2, "union": 2, "intersection": 1}
+
+
+def test_hops_over_relationships_of_both_tables(spark, tmp_path):
+    kept = lambda a, b: json.dumps({"entities": [{"text": a, "kb_entity": {"entity_id": a, "relationships": [{"source_id": a, "target_id": b}]}}]})
+    _stored(spark.createDataFrame([(1, kept("a", "b"))], "id long, nlp_results string"), tmp_path, "processed_texts")
+    _stored(spark.createDataFrame([(1, kept("b", "c")), (2, None)], "id long, result string"), tmp_path, "background_tasks")
+    got = {(r.source_id, r.target_id): r.hops for r in QUERIES["kb_relationship_hops"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): 1, ("b", "c"): 1, ("a", "c"): 2}
