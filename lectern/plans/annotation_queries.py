@@ -401,12 +401,27 @@ def hops_over_regions(s: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
-    """The medical pipeline over the texts: the models' stored reports merged, rules, lookup, one row for each document."""
-    from lectern.plans.pipeline import Pipeline
-
-    stored = _model_entities(s, d)
-    p = Pipeline("medical", kb=read_table(s, d, "kb_entities"), chain=s.createDataFrame([(k, i) for i, k in enumerate(CHAIN)], "kb_id string, rank int"))
-    for k in (2, 3):
-        p.add_model(f"model-{k}", lambda docs, k=k: stored.where(F.col("model_ord") == k).select("doc_id", "ent_ord", "text", "type", "start", "end", "confidence"), 0.8)
-    docs = _texts(s, d).where("domain = 'medical'").select(F.col("id").alias("doc_id"), "text")
-    return p.documents(docs).select("doc_id", F.size("entities").alias("n_entities"), "kb_hit_rate")
+    """The pipeline of each domain over its texts: the stored reports of the domain's catalog models merged, rules, lookup, one row for each document.
+
+    A text whose domain has no settings, rules or models of its own, or that has no domain, goes through the general settings and rules without models.
+    """
+    from lectern.plans.pipeline import Pipeline, reported
+
+    chain = s.createDataFrame([(k, i) for i, k in enumerate(CHAIN)], "kb_id string, rank int")
+    listed = _catalog(s, d).where("domain IS NOT NULL").select("domain", "catalog_ord", "model_id", F.coalesce("performance.f1_score", F.lit(1.0)).alias("weight")).orderBy("catalog_ord").collect()
+    known = sorted({m.domain for m in listed} | {p["domain"] for p in fixed.PIPELINES} | {r[0] for r in fixed.RULES})
+    docs = _texts(s, d).select(F.col("id").alias("doc_id"), "domain", "text")
+    # each model's annotator reads the reports again; the cut keeps their joins out of every branch of the plan
+    stored = cut(_model_entities(s, d).join(docs.select("doc_id", "domain"), "doc_id"))
+    shares = [(n, docs.where(F.col("domain") == n)) for n in known] + [("other", docs.where(~F.coalesce(F.col("domain").isin(known), F.lit(False))))]
+    found = None
+    for name, share in shares:
+        p = Pipeline(name)
+        for m in listed:
+            if m.domain == name:
+                p.add_model(m.model_id, lambda _, k=m.catalog_ord, n=name: stored.where((F.col("model_ord") == k) & (F.col("domain") == n)).select("doc_id", "ent_ord", "text", "type", "start", "end", "confidence"), m.weight)
+        one = p.found(share.select("doc_id", "text"))
+        found = one if found is None else found.unionByName(one)
+    # all domains share the knowledge bases, so one lookup serves them
+    looked_up = knowledge.lookup(found, read_table(s, d, "kb_entities"), chain)
+    return reported(docs, looked_up).select("doc_id", F.size("entities").alias("n_entities"), "kb_hit_rate")

@@ -69,28 +69,37 @@ class Pipeline:
             out = one if out is None else out.unionByName(one)
         return out
 
-    def entities(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, start, end, type, text, confidence, source, found_kb, found_id) of docs (doc_id, text)."""
+    def found(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, start, end, type, text, confidence, source) of docs (doc_id, text), before any lookup."""
         said, parts = self.extracted(docs), []
         if said is not None:
-            merged = ensemble.merge(said, self.strategy or self.settings["ensemble_strategy"])
+            # one annotator has nothing to be merged with
+            merged = ensemble.merge(said, self.strategy or self.settings["ensemble_strategy"]) if len(self.annotators) > 1 else said.select(*ensemble.KEYS, "type", "text", "confidence")
             parts.append(merged.withColumn("source", F.lit("model")))
         if self.use_patterns:
             domain = self.domain if self.domain in ("medical", "legal", "financial") else "general"
             found = extract(docs.where("text IS NOT NULL"), rules_of(domain, self.rules), "doc_id", "text")
             parts.append(found.select("doc_id", "start", "end", F.col("entity_type").alias("type"), "text", "confidence", F.lit("rules").alias("source")))
         if not parts:
-            return docs.sparkSession.createDataFrame([], "doc_id long, start int, end int, type string, text string, confidence double, source string, found_kb string, found_id string")
-        out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            return docs.sparkSession.createDataFrame([], "doc_id long, start int, end int, type string, text string, confidence double, source string")
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def entities(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, start, end, type, text, confidence, source, found_kb, found_id) of docs (doc_id, text)."""
+        out = self.found(docs)
         if self.kb is None or self.chain is None:
             return out.withColumn("found_kb", F.lit(None).cast("string")).withColumn("found_id", F.lit(None).cast("string"))
         return knowledge.lookup(out, self.kb, self.chain)
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """One row for each document: its entities as one array in both naming styles, hit rate and counts; empty for one without any."""
-        e = self.entities(docs)
-        each = F.struct("start", "end", "type", F.col("type").alias("label"), "text", "confidence", "source", "found_id")
-        made = e.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("entities"), F.round(F.avg(F.col("found_id").isNotNull().cast("int")), 6).alias("kb_hit_rate"))
-        empty = F.expr("cast(array() as array<struct<start:int,end:int,type:string,label:string,text:string,confidence:double,source:string,found_id:string>>)")
-        out = docs.select("doc_id").join(made, "doc_id", "left")
-        return out.select("doc_id", F.coalesce("entities", empty).alias("entities"), F.coalesce("kb_hit_rate", F.lit(0.0)).alias("kb_hit_rate"))
+        return reported(docs, self.entities(docs))
+
+
+def reported(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """One row for each document of docs with its looked-up entities."""
+    each = F.struct("start", "end", "type", F.col("type").alias("label"), "text", "confidence", "source", "found_id")
+    made = entities.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("entities"), F.round(F.avg(F.col("found_id").isNotNull().cast("int")), 6).alias("kb_hit_rate"))
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,type:string,label:string,text:string,confidence:double,source:string,found_id:string>>)")
+    out = docs.select("doc_id").join(made, "doc_id", "left")
+    return out.select("doc_id", F.coalesce("entities", empty).alias("entities"), F.coalesce("kb_hit_rate", F.lit(0.0)).alias("kb_hit_rate"))

@@ -34,3 +34,15 @@ def test_hops_over_relationships_of_both_tables(spark, tmp_path):
     _stored(spark.createDataFrame([(1, kept("b", "c")), (2, None)], "id long, result string"), tmp_path, "background_tasks")
     got = {(r.source_id, r.target_id): r.hops for r in QUERIES["kb_relationship_hops"](spark, str(tmp_path)).collect()}
     assert got == {("a", "b"): 1, ("b", "c"): 1, ("a", "c"): 2}
+
+
+def test_pipeline_of_every_domain(spark, tmp_path):
+    _stored(spark.createDataFrame([(0, "m0", "medical", (0.9,)), (1, "m1", "legal", (0.9,)), (2, "m2", "legal", (0.1,))], CATALOG), tmp_path, "model_catalog")
+    texts = [(1, "medical", "take 500 mg"), (2, "legal", "under 18 U.S.C. § 1001, John"), (3, "poetry", "mail a@b.example"), (4, None, "mail a@b.example"), (5, "historical", "nothing")]
+    _stored(spark.createDataFrame(texts, "id long, domain string, text string"), tmp_path, "processed_texts")
+    reports = [(d, m, 0, "John", t, 24, 28, 0.5) for d in (1, 2, 3, 4) for m, t in ((0, "DRUG"), (1, "PERSON"), (2, "ORG"))]
+    _stored(spark.createDataFrame(reports, REPORTS), tmp_path, "model_entities")
+    _stored(spark.createDataFrame([("personfile", "P1", "john", "PERSON", None)], "kb_id string, entity_id string, text string, entity_type string, synonyms array<string>"), tmp_path, "kb_entities")
+    got = {r.doc_id: (r.n_entities, r.kb_hit_rate) for r in QUERIES["pipeline_documents"](spark, str(tmp_path)).collect()}
+    # a model's report and a rule's; a merged span of two models and a citation; rules only; nothing
+    assert got == {1: (2, 0.5), 2: (2, 0.5), 3: (1, 0.0), 4: (1, 0.0), 5: (0, 0.0)}
