@@ -25,6 +25,7 @@ DEFAULT_SUBJECT = "software"
 DIMENSIONS = 1 << 17
 MAX_LABELLED = 20_000
 MAX_COMMITS = 60_000
+MAX_SUBJECTS = 10_000
 EPOCHS = 12
 
 _COMMIT = regex.compile(r"^(?=﻿?(?:commit [0-9a-f]{7,40}\b|From [0-9a-f]{40} |changeset:\s+\d+:|\* [0-9a-f]{7,12} |r\d+ \| ))", regex.M)
@@ -208,7 +209,10 @@ def _train(rows: list[tuple[np.ndarray, np.ndarray]], targets: np.ndarray, epoch
 def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text") -> Classifier:
     """The classifiers, from at most MAX_LABELLED labelled documents and MAX_COMMITS of their commits; their features go to the driver."""
     spark = documents.sparkSession
-    names = sorted(r[0] for r in subjects.select("subject").where("subject IS NOT NULL").distinct().limit(10_000).collect() if r[0] != DEFAULT_SUBJECT)
+    listed = subjects.select("subject").where("subject IS NOT NULL").distinct().limit(MAX_SUBJECTS + 1).collect()
+    if len(listed) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
+    names = sorted(r[0] for r in listed if r[0] != DEFAULT_SUBJECT)
     if not names:
         return Classifier([], np.zeros((0, 0), "float32"), np.zeros(0), np.zeros(0))
     given = labels.where(f"`{key}` IS NOT NULL AND subject IS NOT NULL").groupBy(F.col(key).alias("doc")).agg(F.sort_array(F.collect_set("subject")).alias("subjects"))

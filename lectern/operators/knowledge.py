@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalised
+from lectern.session import bounded
+
+MAX_CHAIN = 10_000
+MAX_STATES = 100_000
 
 
 def lookup_keys(kb: DataFrame) -> DataFrame:
@@ -19,7 +23,7 @@ def lookup(entities: DataFrame, kb: DataFrame, chain: DataFrame, text: str = "te
 
     One row is found for each distinct text before it meets the entities, so a text that many rows share costs one lookup.
     """
-    names = lookup_keys(kb).join(F.broadcast(chain.limit(10_000)), "kb_id")
+    names = lookup_keys(kb).join(F.broadcast(bounded(chain, MAX_CHAIN, "knowledge bases in the chain")), "kb_id")
     first = names.groupBy("key").agg(F.min(F.struct("rank", "kb_id", "entity_id")).alias("f")).select("key", F.col("f.kb_id").alias("found_kb"), F.col("f.entity_id").alias("found_id"))
     return entities.withColumn("key", normalised(F.col(text))).join(first, "key", "left").drop("key")
 
@@ -38,7 +42,7 @@ def latest(versions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def incremental(source: DataFrame, state: DataFrame, kb: str = "kb_id", changed: str = "last_updated") -> DataFrame:
     """Rows changed since their knowledge base's last success; all rows of one without."""
     s = state.select(F.col(kb), F.col("last_success"))
-    return source.join(F.broadcast(s.limit(100_000)), kb, "left").where(F.col("last_success").isNull() | (F.col(changed) > F.col("last_success"))).drop("last_success")
+    return source.join(F.broadcast(bounded(s, MAX_STATES, "states of knowledge bases")), kb, "left").where(F.col("last_success").isNull() | (F.col(changed) > F.col("last_success"))).drop("last_success")
 
 
 def hops(edges: DataFrame, start: DataFrame, n: int) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions import fixed
 from lectern.functions.text import certainty, xml_escaped
+from lectern.session import bounded
 
 NAMESPACE = "http://www.tei-c.org/ns/1.0"
+MAX_SCHEMAS = 10_000
 FLAGS = ("include_pos", "include_lemma", "include_dependencies", "include_analysis", "include_morph", "include_dep", "use_paragraphs", "classification")
 _SCHEMA = "domain string, title string, annotation_strategy string, " + ", ".join(f"{f} boolean" for f in FLAGS) + ", entity_mappings map<string,string>, text_class string"
 
@@ -26,7 +28,7 @@ def schemas(spark: SparkSession, own: list[dict] | None = None) -> DataFrame:
 
 def with_schema(docs: DataFrame, table: DataFrame, domain: str = "domain") -> DataFrame:
     """docs with the fields of their domain's schema as struct schema; of the default one for a domain without."""
-    t = F.broadcast(table.limit(10_000).select(F.col("domain").alias("_d"), F.struct(*table.columns).alias("_s")))
+    t = F.broadcast(bounded(table, MAX_SCHEMAS, "schemas").select(F.col("domain").alias("_d"), F.struct(*table.columns).alias("_s")))
     default = F.broadcast(table.where("domain = 'default'").limit(1).select(F.struct(*table.columns).alias("_f")))
     return docs.join(t, docs[domain] == t["_d"], "left").crossJoin(default).withColumn("schema", F.coalesce("_s", "_f")).drop("_d", "_s", "_f")
 

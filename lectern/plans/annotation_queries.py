@@ -11,7 +11,9 @@ from lectern.operators import annotate, catalog, ensemble, knowledge, tei
 from lectern.operators.flatten import flatten_tables
 from lectern.operators.patterns import Rule, candidates, extract, normalised_entity, resolved, rules_of, spans, valid_entity
 from lectern.plans.core_queries import json_tables
-from lectern.session import cut, read_table, spread
+from lectern.session import bounded, cut, read_table, spread
+
+MAX_MODELS = 10_000
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -229,7 +231,7 @@ def certainty_buckets(s: SparkSession, d: str) -> DataFrame:
 
 def _model_entities(s: SparkSession, d: str) -> DataFrame:
     """All typed reports with their models' weights. A report without confidence counts as 1.0, the default of the reference's Entity."""
-    weights = F.broadcast(read_table(s, d, "model_catalog").select(F.col("catalog_ord").alias("model_ord"), F.col("performance.f1_score").alias("weight")).limit(10_000))
+    weights = F.broadcast(bounded(_catalog(s, d).select(F.col("catalog_ord").alias("model_ord"), F.col("performance.f1_score").alias("weight")), MAX_MODELS, "models in the catalog"))
     m = read_table(s, d, "model_entities").where("entity_type IS NOT NULL").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
     return m.select("doc_id", "model_ord", "ent_ord", "text", F.col("entity_type").alias("type"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "confidence").join(weights, "model_ord", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
 

@@ -62,6 +62,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, a small table to be broadcast, counted: it raises if it has more than so many rows, so none is cut away unseen."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the checkpoint folder and cuts its lineage.
 
