@@ -53,7 +53,7 @@ def entity_histogram(s: SparkSession, d: str) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(coalesce(sum(len(regexp_extract_all(text, '{_sql(p)}'))), 0) AS BIGINT) AS n FROM documents" for n, p in _GENERAL.items() if n in ("email", "url", "date_iso")))
 def pattern_counts_general(s: SparkSession, d: str) -> DataFrame:
     docs = spread(read_table(s, d, "documents").select("text"))
-    names = [n for n in _GENERAL if n in ("email", "url", "date_iso")]
+    names = list(_GENERAL)
     sums = docs.agg(*(F.coalesce(F.sum(F.size(spans(F.col("text"), Rule(n, _GENERAL[n])))), F.lit(0)).alias(n) for n in names))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).cast("long").alias("n")) for n in names))).alias("r")).select("r.*")
 
