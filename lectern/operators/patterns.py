@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
+from lectern.functions.arrays import let, runs, scan
 
 PRIORITY = {"high": 0, "medium": 1, "low": 2}
 
@@ -42,24 +43,35 @@ def rules_of(domain: str, custom: list[Rule] | None = None) -> list[Rule]:
     return sorted(ordered, key=lambda r: PRIORITY.get(r.priority, 1))
 
 
+#: Marks put around matches; where a text has such characters itself, others of their kind stand for them during the search.
+_OPEN, _SHUT, _OWN = "\ufdd0", "\ufdd1", "\ufdd2\ufdd3"
+_SPAN = "struct<start:int,end:int,text:string>"
+
+
 def spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end, text>> of all matches, half-open in code points.
+    """array<struct<start, end, text>> of all matches, half-open in code points; empty for null.
 
-    The rule is matched together with the stretch before it, up to the end of the text, so that the lengths of stretches and matches add up
-    to offsets. The arm for the end of the text keeps the last search from starting over at each character.
+    One search puts marks around the matches, one split finds them; the lengths of what lies between add up to the offsets.
     """
-    joined = f"{rule.flags}((?s:.*?))(?:({rule.pattern})|\\z)"
-    gaps = F.regexp_extract_all(text, F.lit(joined), F.lit(1))
-    hits = F.regexp_extract_all(text, F.lit(joined), F.lit(2))
-    both = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"] != "")
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+    plain = F.translate(text, _OPEN + _SHUT, _OWN)
+    parts = F.split(F.regexp_replace(plain, F.lit(f"{rule.flags}(?:{rule.pattern})"), F.lit(f"{_OPEN}$0{_SHUT}")), _OPEN)
+
+    def place(at: Column, x: Column) -> tuple[Column, Column]:
+        hit = F.element_at(F.split(x, _SHUT), 1)
+        n = F.char_length(hit)
+        # the first part has no mark: it is what lies before the first match
+        marked = F.contains(x, F.lit(_SHUT))
+        end = F.when(marked, at + n).otherwise(at)
+        return (at + F.char_length(x) - marked.cast("int")).cast("int"), F.struct(at.cast("int").alias("start"), end.cast("int").alias("end"), F.when(marked, hit).otherwise("").alias("text"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), x["hit"].alias("text")))).alias("out"))
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+    placed = F.filter(scan(parts, F.lit(0), _SPAN, place), lambda m: m["end"] > m["start"])
+    # a match that held a mark of its own is read from the text itself
+    own = F.transform(placed, lambda m: m.withField("text", F.when(m["text"].rlike(f"[{_OWN}]"), F.substring(text, m["start"] + 1, m["end"] - m["start"])).otherwise(m["text"])))
+    return F.coalesce(F.when(text.isNotNull(), own), none)
 
-    return F.coalesce(F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"]), empty)
+
+_MATCH = "struct<rule:string,entity_type:string,rule_ord:int,start:int,end:int,text:string,valid:boolean,confidence:double>"
 
 
 def candidates(text: Column, rules: list[Rule]) -> Column:
@@ -75,17 +87,32 @@ def candidates(text: Column, rules: list[Rule]) -> Column:
         return dress
 
     # most texts have no match of most rules: a plain search is far cheaper than placing all of the text
-    none = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
     each = [F.transform(F.when(text.rlike(r.flags + r.pattern), spans(text, r)).otherwise(none), dressed(r, i)) for i, r in enumerate(rules)]
     return F.concat(*each)
 
 
 def resolved(all_: Column) -> Column:
-    """Greedy choice: a match is kept if it overlaps none kept before; then in order of place."""
-    kind = "array<struct<rule:string,entity_type:string,rule_ord:int,start:int,end:int,text:string,valid:boolean,confidence:double>>"
-    none = F.expr(f"cast(array() as {kind})")
-    kept = F.aggregate(all_, none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(a["rule_ord"] - b["rule_ord"]))
+    """Greedy choice: a match is kept if it overlaps none kept before; then in order of place.
+
+    Matches are sorted by place and cut into islands that no match reaches out of, so a match is compared with those of its island only.
+    """
+    fields = ("rule", "entity_type", "rule_ord", "start", "end", "text", "valid", "confidence")
+    by_place = F.array_sort(F.transform(all_, lambda x: F.struct(x["start"], x["rule_ord"], x["end"], x.alias("m"))))
+
+    def islands(sorted_: Column) -> Column:
+        opens = scan(sorted_, F.lit(-1), "boolean", lambda reach, x: (F.greatest(reach, x["end"]).cast("int"), x["start"] >= reach))
+        return runs(sorted_, opens)
+
+    def choose(island: Column) -> Column:
+        considered = F.array_sort(F.transform(island, lambda x: F.struct(x["m"]["rule_ord"], x["m"]["start"].alias("start"), x["m"].alias("m"))))
+        none = F.expr(f"cast(array() as array<{_MATCH}>)")
+        kept = F.aggregate(considered, none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["start"] < x["m"]["end"]) & (x["m"]["start"] < y["end"])), acc).otherwise(F.concat(acc, F.array(x["m"]))))
+        back = F.array_sort(F.transform(kept, lambda m: F.struct(m["start"], m["rule_ord"], m.alias("m"))))
+        return F.when(F.size(island) == 1, F.transform(island, lambda x: x["m"])).otherwise(F.transform(back, lambda x: x["m"]))
+
+    chosen = let(by_place, lambda s: F.flatten(F.transform(islands(s), choose)))
+    return F.transform(chosen, lambda m: F.struct(*(m[f].alias(f) for f in fields)))
 
 
 def extract(df: DataFrame, rules: list[Rule], key: str, text: str) -> DataFrame:

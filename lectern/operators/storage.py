@@ -99,9 +99,37 @@ def cache_state(entries: DataFrame, at: str, as_of: Column, ttl_seconds: int) ->
 
 
 def evicted(entries: DataFrame, used: str, key: str, share: int = 10) -> DataFrame:
-    """The tenth of the entries used longest ago (at least one): what is dropped when a cache is full.
+    """The tenth of the entries used longest ago (at least one): what is dropped when a cache is full. Null times come first; ties go by key.
 
-    Ranks come from counts by value of the order columns, so no task sees all entries.
+    Counts by day find the day in which the cut falls, counts by microsecond the instant in it; only entries of that very instant are
+    numbered, by key. No entry of any other instant is sorted or moved.
     """
-    n = max(1, entries.count() // share)
-    return entries.orderBy(F.asc_nulls_first(used), key).limit(n)
+    at = F.coalesce(F.unix_micros(F.col(used).cast("timestamp")), F.lit(-(1 << 62)))
+    d = entries.withColumn("_at", at).withColumn("_day", F.floor(F.col("_at") / 86_400_000_000))
+    days = d.groupBy("_day").agg(F.count(F.lit(1)).alias("n"))
+    most = F.greatest(F.lit(1), F.floor(F.sum("n").over(Window.partitionBy()) / share))
+    # one row for each day: a window over them is small whatever the table holds
+    days = days.select("_day", "n", F.sum("n").over(Window.orderBy("_day")).alias("upto"), most.alias("most"))
+    border = days.where("upto - n < most AND upto >= most").select("_day", (F.col("most") - F.col("upto") + F.col("n")).alias("rest"))
+    ticks = d.join(F.broadcast(border), "_day").groupBy("_at", "rest").agg(F.count(F.lit(1)).alias("n"))
+    ticks = ticks.withColumn("_slice", F.floor(F.col("_at") / 1_000_000))
+    upto = _running(ticks, "_slice", "_at", "n")
+    edge = upto.where("upto - n < rest AND upto >= rest").select(F.col("_at").alias("_edge"), (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))
+    d = d.drop("_day").crossJoin(F.broadcast(edge)).where("_at <= _edge")
+    sure = d.where("_at < _edge")
+    last = _first_by(d.where("_at = _edge"), key, "left")
+    return sure.select(*entries.columns).unionByName(last.select(*entries.columns))
+
+
+def _running(df: DataFrame, part: str, order: str, n: str) -> DataFrame:
+    """df with upto, the running sum of n by order, in two levels: over parts, then within each."""
+    totals = df.groupBy(part).agg(F.sum(n).alias("_t"))
+    totals = totals.select(part, (F.sum("_t").over(Window.orderBy(part)) - F.col("_t")).alias("_before"))
+    return df.join(totals, part).withColumn("upto", F.sum(n).over(Window.partitionBy(part).orderBy(order)) + F.col("_before")).drop("_before")
+
+
+def _first_by(df: DataFrame, key: str, n: str, lots: int = 64) -> DataFrame:
+    """The first n rows by key, of rows that all have the same n: found in lots, each of which keeps at most n before the last cut."""
+    lot = F.pmod(F.hash(key), F.lit(lots))
+    own = df.withColumn("_k", F.row_number().over(Window.partitionBy(lot).orderBy(key))).where(F.col("_k") <= F.col(n))
+    return own.withColumn("_k", F.row_number().over(Window.orderBy(key))).where(F.col("_k") <= F.col(n)).drop("_k")

@@ -10,6 +10,7 @@ from lectern.functions import text as T
 from lectern.operators import annotate, catalog, ensemble, knowledge, tei
 from lectern.operators.flatten import flatten_tables
 from lectern.operators.patterns import Rule, candidates, extract, normalised_entity, resolved, rules_of, spans, valid_entity
+from lectern.plans import json_sql
 from lectern.plans.core_queries import json_tables
 from lectern.session import bounded, cut, read_table, spread
 
@@ -50,7 +51,7 @@ def entity_histogram(s: SparkSession, d: str) -> DataFrame:
     return found.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(coalesce(sum(len(regexp_extract_all(text, '{_sql(p)}'))), 0) AS BIGINT) AS n FROM documents" for n, p in _GENERAL.items() if n in ("email", "url", "date_iso")))
+@query(" UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(coalesce(sum(len(regexp_extract_all(text, '{_sql(p)}'))), 0) AS BIGINT) AS n FROM documents" for n, p in _GENERAL.items()))
 def pattern_counts_general(s: SparkSession, d: str) -> DataFrame:
     docs = spread(read_table(s, d, "documents").select("text"))
     names = list(_GENERAL)
@@ -58,6 +59,60 @@ def pattern_counts_general(s: SparkSession, d: str) -> DataFrame:
     return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).cast("long").alias("n")) for n in names))).alias("r")).select("r.*")
 
 
+_MARK_OPEN, _MARK_SHUT = "chr(64976)", "chr(64977)"
+
+
+def _sql_pattern(rule: Rule) -> str:
+    """The rule for an engine whose classes are ASCII: digits and white space of all scripts are named."""
+    inside, out, skip = False, "", False
+    for ch, nxt in zip(rule.pattern, rule.pattern[1:] + " "):
+        if skip:
+            skip = False
+            continue
+        if ch == "\\" and nxt in "ds":
+            named = {"d": "\\p{Nd}", "s": "\\s\\x0b\\x{85}\\p{Z}"}[nxt]
+            out, skip = out + (named if inside else f"[{named}]"), True
+            continue
+        if ch == "\\":
+            out, skip = out + ch + nxt, True
+            continue
+        inside = ch == "[" or inside and ch != "]"
+        out += ch
+    return _sql(("(?i)" if rule.ignore_case else "") + out)
+
+
+# letters, marks and digits beyond ASCII count as parts of words; µ is a letter of the rules themselves
+_MASKED = r"regexp_replace(text, '[^\x00-\x7F\p{P}\p{S}\p{Z}\p{C}µ]', '_', 'g')"
+
+
+def _matches_sql(table: str, key: str, rules: list[Rule]) -> str:
+    """CTEs ending in m (key, ro, rule, entity_type, start, end, text, valid, confidence): all matches of all rules."""
+    one = []
+    for i, r in enumerate(rules):
+        p = _sql_pattern(r)
+        valid = "true" if r.validation is None else f"regexp_matches(hit, '^(?:{_sql(r.validation)})')"
+        # a mask may be taken for a letter of a pattern that allows the underscore
+        own = " WHERE NOT regexp_matches(hit, '[^\\x00-\\x7F]')" if r.name == "email" else ""
+        one.append(
+            f"SELECT {key}, {i} AS ro, '{r.name}' AS rule, '{r.type}' AS entity_type, gap AS start, CAST(gap + n AS INTEGER) AS \"end\", hit AS text, {valid} AS valid, CAST(CASE WHEN {valid} THEN 1.0 ELSE 0.7 END * {0.8 if r.priority == 'low' else 1.0} AS DOUBLE) AS confidence"
+            f" FROM (SELECT {key}, gap, n, substr(text, gap + 1, n) AS hit FROM (SELECT {key}, text, length(split_part(parts[k], {_MARK_SHUT}, 1)) AS n, CAST(coalesce(list_sum(list_transform(parts[1:k - 1], lambda v: length(replace(v, {_MARK_SHUT}, '')))), 0) AS INTEGER) AS gap"
+            f" FROM (SELECT {key}, text, parts, unnest(range(2, len(parts) + 1)) AS k FROM (SELECT {key}, text, string_split(regexp_replace(masked, '{p}', {_MARK_OPEN} || '\\0' || {_MARK_SHUT}, 'g'), {_MARK_OPEN}) AS parts FROM masks WHERE regexp_matches(masked, '{p}'))))){own}"
+        )
+    return f"masks AS (SELECT {key}, text, {_MASKED} AS masked FROM {table}), m AS (" + " UNION ALL ".join(one) + ")"
+
+
+def _greedy_sql(table: str, key: str, rules: list[Rule]) -> str:
+    """CTEs ending in kept: matches in order of rule and place, each kept if it overlaps none kept before."""
+    fields = {"rule": "rule", "entity_type": "entity_type", "start": "s", "end": "e", "text": "text", "valid": "valid", "confidence": "confidence"}
+    packed = ", ".join(f'"{v}": "{k}"' for k, v in fields.items())
+    return (
+        _matches_sql(table, key, rules)
+        + f", l AS (SELECT {key}, list([{{{packed}}}] ORDER BY ro, start) AS l FROM m GROUP BY {key}),"
+        + f" g AS (SELECT {key}, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS u FROM l),"
+        + f" kept AS (SELECT {key}, " + ", ".join(f'u.{v} AS "{k}"' for k, v in fields.items()) + " FROM g)"
+    )
+
+
 def _pattern_query(domain: str):
     def run(s: SparkSession, d: str) -> DataFrame:
         return extract(spread(_texts(s, d).where("text IS NOT NULL").select("id", "text")), rules_of(domain), "id", "text")
@@ -67,12 +122,19 @@ def _pattern_query(domain: str):
 
 for _d in ("medical", "legal", "financial", "general"):
     QUERIES[f"pattern_spans_{_d}"] = _pattern_query(_d)
+    # rules that look ahead are beyond the SQL engine's patterns; they are checked against plain matching in the tests
+    if not any("(?=" in r.pattern for r in rules_of(_d)):
+        ORACLES[f"pattern_spans_{_d}"] = "WITH " + _greedy_sql("processed_texts", "id", rules_of(_d)) + " SELECT * FROM kept"
 
+ORACLES["entity_histogram"] = "WITH " + _greedy_sql("documents", "doc_id", rules_of("general")) + " SELECT entity_type, count(*) AS n, round(avg(confidence), 6) AS mean_confidence FROM kept GROUP BY entity_type"
 
-@query()
+
+_FILE_CODE = Rule("file_code", r"\b([A-Z]\d{2}[-/.]\d{2,3})\b", "high")
+
+
+@query("WITH " + _greedy_sql("processed_texts", "id", rules_of("general", [_FILE_CODE])) + " SELECT id, start, \"end\", text FROM kept WHERE rule = 'file_code'")
 def pattern_custom(s: SparkSession, d: str) -> DataFrame:
-    own = Rule("file_code", r"\b([A-Z]\d{2}[-/.]\d{2,3})\b", "high")
-    return extract(_texts(s, d).where("text IS NOT NULL"), rules_of("general", [own]), "id", "text").where("rule = 'file_code'").select("id", "start", "end", "text")
+    return extract(_texts(s, d).where("text IS NOT NULL"), rules_of("general", [_FILE_CODE]), "id", "text").where("rule = 'file_code'").select("id", "start", "end", "text")
 
 
 _NOTE = "'Rx ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || ' mg po bid for E11.' || CAST(l_linenumber AS VARCHAR) || '; paid $' || CAST(l_orderkey AS VARCHAR) || '.'"
@@ -131,34 +193,54 @@ def token_counts(s: SparkSession, d: str) -> DataFrame:
     return _texts(s, d).where("text IS NOT NULL").select(F.explode(found).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _annotated(s: SparkSession, d: str) -> DataFrame:
-    return annotate.annotated(spread(_texts(s, d).where("text IS NOT NULL").select("id", "text")), "id", "text", rules_of("general"))
+def _annotated(s: SparkSession, d: str, *keep: str) -> DataFrame:
+    return annotate.annotated(spread(_texts(s, d).select("id", "text", *keep)), "id", "text", rules_of("general"), *keep)
 
 
-@query()
+def _placed_sql(source: str, key: str, text: str, pattern: str, base: str) -> str:
+    """All matches of a pattern in a column, with offsets counted on from base."""
+    gap = f"coalesce(list_sum(list_transform(parts[1:k - 1], lambda v: length(replace(v, {_MARK_SHUT}, '')))), 0)"
+    inner = f"SELECT {key}, {base} AS base, string_split(regexp_replace({text}, '{pattern}', {_MARK_OPEN} || '\\0' || {_MARK_SHUT}, 'g'), {_MARK_OPEN}) AS parts FROM {source}"
+    return f"SELECT {key}, split_part(parts[k], {_MARK_SHUT}, 1) AS hit, CAST(base + {gap} AS INTEGER) AS at_ FROM (SELECT {key}, base, parts, unnest(range(2, len(parts) + 1)) AS k FROM ({inner}))"
+
+
+_TOKENS = (
+    "se AS (SELECT id, hit, at_, CAST(row_number() OVER (PARTITION BY id ORDER BY at_) - 1 AS INTEGER) AS sent_no FROM (" + _placed_sql("processed_texts", "id", "text", _S, "0") + ") WHERE trim(hit) <> ''),"
+    " tk AS (SELECT id, sent_no, hit AS text, at_ AS idx, CAST(row_number() OVER (PARTITION BY id ORDER BY at_) - 1 AS INTEGER) AS i FROM (" + _placed_sql("se", "id, sent_no", "hit", _T, "at_") + ")),"
+    r" tz AS (SELECT *, NOT regexp_matches(text, '[\p{L}\p{M}\p{N}]') AS is_punct, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\p{Lu}', 'X', 'g'), '\p{Ll}', 'x', 'g'), '\p{N}', 'd', 'g'), '(X{4})X+|(x{4})x+|(d{4})d+', '\1\2\3', 'g') AS shape FROM tk)"
+)
+
+
+@query("WITH " + _TOKENS + r" SELECT id, sent_no, i, text, CASE WHEN is_punct THEN 'PUNCT' WHEN regexp_full_match(text, '\p{N}+') THEN 'NUM' ELSE 'X' END AS pos, shape, is_punct, idx FROM tz")
 def tokens(s: SparkSession, d: str) -> DataFrame:
     return annotate.token_table(_annotated(s, d), "id").select("id", "sent_no", "i", "text", "pos", "shape", "is_punct", "idx")
 
 
-@query()
+@query(
+    "WITH " + _TOKENS + ", " + _greedy_sql("processed_texts", "id", rules_of("general"))
+    + ", en AS (SELECT kept.id, count(*) AS n FROM kept WHERE EXISTS (SELECT 1 FROM tk WHERE tk.id = kept.id AND tk.idx >= kept.start AND tk.idx < kept.\"end\") GROUP BY kept.id)"
+    " SELECT t.id, CAST(coalesce((SELECT count(*) FROM se WHERE se.id = t.id), 0) AS INTEGER) AS n_sentences, CAST(coalesce((SELECT count(*) FROM tk WHERE tk.id = t.id), 0) AS INTEGER) AS n_tokens, CAST(coalesce(en.n, 0) AS INTEGER) AS n_entities, 0 AS n_dependencies, 0 AS n_noun_phrases FROM processed_texts t LEFT JOIN en ON en.id = t.id"
+)
 def document_statistics(s: SparkSession, d: str) -> DataFrame:
     return annotate.statistics(_annotated(s, d), "id")
 
 
-@query()
+@query(
+    "WITH x AS (" + json_sql.LEVELS["tokens"] + "), t AS (SELECT row_id, chunk_no, TRY_CAST(i AS INTEGER) AS i, TRY_CAST(head AS INTEGER) AS head, coalesce(dep, CASE WHEN head <> i THEN 'dep' END) AS dep, text, pos FROM x WHERE src = 'processed_texts'),"
+    " u AS (SELECT * FROM t WHERE i IS NOT NULL AND head IS NOT NULL)"
+    ' SELECT a.row_id, a.chunk_no, a.head AS "from", a.i AS "to", a.dep, min(h.text) AS from_text, min(a.text) AS to_text FROM u a JOIN u h ON h.row_id = a.row_id AND h.chunk_no = a.chunk_no AND h.i = a.head WHERE a.dep IS NOT NULL AND a.dep <> \'ROOT\' AND a.i <> a.head GROUP BY ALL'
+)
 def dependency_edges(s: SparkSession, d: str) -> DataFrame:
     t = flatten_tables("tokens", (spread(_texts(s, d).select("id", "nlp_results")), "id", "nlp_results", "processed_texts"))
-    t = t.select("row_id", F.expr("try_cast(i AS INT)").alias("i"), F.expr("try_cast(head AS INT)").alias("head"), F.coalesce("dep", F.when(F.col("head") != F.col("i"), "dep")).alias("dep"), "text", "pos")
-    return annotate.dependency_edges(t.where("i IS NOT NULL AND head IS NOT NULL"), ["row_id"])
+    t = t.select("row_id", "chunk_no", F.expr("try_cast(i AS INT)").alias("i"), F.expr("try_cast(head AS INT)").alias("head"), F.coalesce("dep", F.when(F.col("head") != F.col("i"), "dep")).alias("dep"), "text", "pos")
+    return annotate.dependency_edges(t.where("i IS NOT NULL AND head IS NOT NULL"), ["row_id", "chunk_no"]).select("row_id", "chunk_no", "from", "to", "dep", "from_text", "to_text")
 
 
 # --- TEI ----------------------------------------------------------------------------------------------------------------------------
 
 
 def _tei(s: SparkSession, d: str, strategy: str | None = None) -> DataFrame:
-    t = _texts(s, d).select("id", "domain", "text")
-    docs = _annotated(s, d).join(t.select("id", "domain"), "id").withColumn("language", F.lit(None).cast("string"))
-    docs = docs.withColumn("dependencies", F.expr("cast(array() as array<struct<`from`:int,`to`:int,dep:string,from_text:string,to_text:string>>)"))
+    docs = _annotated(s, d, "domain").withColumn("language", F.lit(None).cast("string"))
     docs = tei.with_schema(docs, tei.schemas(s))
     if strategy:
         docs = docs.withColumn("schema", F.col("schema").withField("annotation_strategy", F.lit(strategy)))
@@ -174,13 +256,13 @@ _COUNT = lambda tag: F.regexp_count("tei", F.lit(tag)).cast("long")  # noqa: E73
 _W = r"[\p{L}\p{M}\p{N}]+"
 
 
-@query(f"SELECT id, CAST(len(regexp_extract_all(text, '{_W}')) AS BIGINT) AS w, CAST(len(regexp_extract_all(text, '{_T}')) - len(regexp_extract_all(text, '{_W}')) AS BIGINT) AS pc FROM processed_texts WHERE text IS NOT NULL")
+@query(f"SELECT id, CAST(coalesce(len(regexp_extract_all(text, '{_W}')), 0) AS BIGINT) AS w, CAST(coalesce(len(regexp_extract_all(text, '{_T}')) - len(regexp_extract_all(text, '{_W}')), 0) AS BIGINT) AS pc FROM processed_texts")
 def tei_inline_tags(s: SparkSession, d: str) -> DataFrame:
     """Words and marks of the inline documents, read back from the XML."""
     return _tei(s, d, "inline").select("id", _COUNT("<tei:w ").alias("w"), _COUNT("<tei:pc ").alias("pc"))
 
 
-@query(f"SELECT id, CAST(len(list_filter(regexp_extract_all(text, '{_S}'), lambda x: trim(x) <> '')) AS BIGINT) AS milestones FROM processed_texts WHERE text IS NOT NULL")
+@query(f"SELECT id, CAST(coalesce(len(list_filter(regexp_extract_all(text, '{_S}'), lambda x: trim(x) <> '')), 0) AS BIGINT) AS milestones FROM processed_texts")
 def tei_standoff_tags(s: SparkSession, d: str) -> DataFrame:
     return _tei(s, d, "standoff").select("id", _COUNT("<tei:milestone ").alias("milestones"))
 
@@ -190,12 +272,42 @@ def tei_mixed(s: SparkSession, d: str) -> DataFrame:
     return _tei(s, d, "mixed").select("id", F.char_length("tei").alias("chars"), _COUNT("<tei:s |<tei:p ").alias("sentences"))
 
 
-@query("SELECT id, '<TEI xmlns=\"http://www.tei-c.org/ns/1.0\">' AS root, count(*) OVER () AS n FROM processed_texts WHERE text IS NULL")
-def tei_fallback(s: SparkSession, d: str) -> DataFrame:
-    t = _texts(s, d).where("text IS NULL").select("id", tei.fallback(F.col("text"), F.lit("no text")).alias("x"))
-    from pyspark.sql.window import Window
+# the structure that a conversion needs: sentences with texts, whose tokens are an array where there are any; entities with text and label
+_STORED = (
+    "WITH j1 AS (SELECT id, text, TRY_CAST(nlp_results AS JSON) AS j FROM processed_texts WHERE json_valid(nlp_results)), j2 AS (SELECT id, " + json_sql.obj("j") + " AS o FROM j1), j3 AS (SELECT id, o, " + json_sql.obj("n") + " AS i FROM (SELECT id, o, json_extract(o, '$.nlp_results') AS n FROM j2)),"
+    " v AS (SELECT id, coalesce(i, o) AS d FROM j3), s AS (SELECT id, " + json_sql.opened("a") + " AS ss, " + json_sql.opened("b") + " AS es, " + json_sql.opened("c") + " AS ds FROM (SELECT id, json_extract(d, '$.sentences') AS a, json_extract(d, '$.entities') AS b, json_extract(d, '$.dependencies') AS c FROM v)),"
+    " ok AS (SELECT id, ds, ss FROM s WHERE json_type(ss) = 'ARRAY' AND json_type(es) = 'ARRAY'"
+    " AND len(list_filter(CAST(ss AS JSON[]), lambda x: (json_type(x) = 'OBJECT' AND json_type(x, '$.text') <> 'NULL' AND coalesce(json_type(x, '$.tokens') IN ('ARRAY', 'NULL'), true)) IS NOT TRUE)) = 0"
+    " AND len(list_filter(CAST(es AS JSON[]), lambda x: (json_type(x) = 'OBJECT' AND json_type(x, '$.text') <> 'NULL' AND json_type(x, '$.label') <> 'NULL') IS NOT TRUE)) = 0)"
+)
+_BAD = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '\'\'', '&apos;')"
+
+
+def _stored(s: SparkSession, d: str) -> DataFrame:
+    """Texts with the annotation stored with them, and their domain's schema."""
+    t = annotate.stored(spread(_texts(s, d).select("id", "text", "domain", "nlp_results")), "id", "nlp_results", "text", "domain")
+    return tei.with_schema(t, tei.schemas(s))
+
 
-    return t.select("id", F.regexp_extract("x", "(<TEI [^>]*>)", 1).alias("root"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))
+@query(
+    _STORED + ", k AS (SELECT ok.id, CAST(len(CAST(ss AS JSON[])) AS BIGINT) AS sentences, CASE WHEN json_type(ds) = 'ARRAY' AND t.domain IN ('literary', 'linguistic') THEN len(CAST(ds AS JSON[])) ELSE 0 END AS links, t.domain FROM ok JOIN processed_texts t ON t.id = ok.id)"
+    " SELECT t.id, k.id IS NOT NULL AS valid, coalesce(CASE WHEN k.domain IN ('legal', 'historical', 'literary', 'linguistic') THEN k.sentences ELSE 0 END, 0) AS milestones, CAST(coalesce(k.links, 0) AS BIGINT) AS links FROM processed_texts t LEFT JOIN k ON k.id = t.id"
+)
+def tei_stored(s: SparkSession, d: str) -> DataFrame:
+    """Documents of the stored annotation, with its dependencies and noun chunks, read back from the XML."""
+    out = tei.converted(_stored(s, d), F.lit("2017-04-01T00:00:00"))
+    return out.select("id", "valid", _COUNT("<tei:milestone ").alias("milestones"), _COUNT("<tei:link ").alias("links"))
+
+
+@query(
+    _STORED
+    + " SELECT id, '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"><teiHeader><fileDesc><titleStmt><title>Processing Error</title></titleStmt></fileDesc></teiHeader><text><body><p>' || "
+    + _BAD.format("coalesce(text, '')")
+    + " || '</p><note>Invalid NLP results structure</note></body></text></TEI>' AS xml FROM processed_texts WHERE id NOT IN (SELECT id FROM ok)"
+)
+def tei_fallback(s: SparkSession, d: str) -> DataFrame:
+    """The document that stands for a text whose stored annotation does not have the structure that a conversion needs."""
+    return tei.converted(_stored(s, d).where("NOT valid"), F.lit("")).select("id", F.col("tei").alias("xml"))
 
 
 @query("SELECT id, domain, CASE domain WHEN 'legal' THEN 'standoff' WHEN 'historical' THEN 'standoff' WHEN 'literary' THEN 'standoff' WHEN 'linguistic' THEN 'standoff' ELSE 'inline' END AS strategy FROM processed_texts")
@@ -230,71 +342,124 @@ def certainty_buckets(s: SparkSession, d: str) -> DataFrame:
 
 
 def _model_entities(s: SparkSession, d: str) -> DataFrame:
-    """All typed reports with their models' weights. A report without confidence counts as 1.0, the default of the reference's Entity."""
-    weights = F.broadcast(bounded(_catalog(s, d).select(F.col("catalog_ord").alias("model_ord"), F.col("performance.f1_score").alias("weight")), MAX_MODELS, "models in the catalog"))
-    m = read_table(s, d, "model_entities").where("entity_type IS NOT NULL").withColumn("confidence", F.coalesce("confidence", F.lit(1.0)))
-    return m.select("doc_id", "model_ord", "ent_ord", "text", F.col("entity_type").alias("type"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "confidence").join(weights, "model_ord", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    """All reports; one without a type has a type of its own (null), one without confidence counts as 1.0."""
+    m = read_table(s, d, "model_entities")
+    return m.select("doc_id", "model_ord", "ent_ord", "text", F.col("entity_type").alias("type"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "confidence", "model_id")
+
+
+def _ran(s: SparkSession, d: str) -> DataFrame:
+    """(doc_id, model_ord, weight) of the models that ran on each text: those of the catalog for its domain, and any that reported something.
+
+    A model that runs and finds nothing is an empty list of the merge. Weights are the models' F1 scores, 1.0 where there is none.
+    """
+    listed = bounded(_catalog(s, d).select(F.col("catalog_ord").alias("model_ord"), "domain", F.coalesce("performance.f1_score", F.lit(1.0)).alias("weight")), MAX_MODELS, "models in the catalog")
+    planned = _texts(s, d).select(F.col("id").alias("doc_id"), "domain").join(F.broadcast(listed.select("domain", "model_ord")), "domain").select("doc_id", "model_ord")
+    spoke = read_table(s, d, "model_entities").select("doc_id", "model_ord")
+    return planned.unionByName(spoke).distinct().join(F.broadcast(listed.select("model_ord", "weight")), "model_ord", "left").select("doc_id", "model_ord", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def _voted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ran = _ran(s, d)
+    return _model_entities(s, d), ran
+
+
+def _voted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    ran = _ran(s, d)
+    return _model_entities(s, d), ran
 
 
 def _rounded(e: DataFrame) -> DataFrame:
     return e.select("doc_id", "start", "end", "type", F.round("confidence", 10).alias("confidence"))
 
 
-_E = "WITH e AS (SELECT m.doc_id, m.model_ord, m.ent_ord, m.entity_type AS type, m.start_char AS start, m.end_char AS \"end\", m.confidence, coalesce(c.performance.f1_score, 1.0) AS weight FROM model_entities m LEFT JOIN model_catalog c ON c.catalog_ord = m.model_ord WHERE m.confidence IS NOT NULL AND m.entity_type IS NOT NULL), "
-_V = _E + 't AS (SELECT doc_id, start, "end", type, count(*) AS votes, min((model_ord, ent_ord)) AS seen, avg(confidence) AS mean, sum(weight) AS w, sum(confidence * weight) AS cw FROM e GROUP BY ALL), md AS (SELECT doc_id, count(DISTINCT model_ord) AS n_models FROM e GROUP BY doc_id), '
+_K = 'doc_id, start, "end"'
+# every model that ran, with its weight; all reports
+_RAN = (
+    "WITH ran AS (SELECT doc_id, model_ord FROM model_entities UNION SELECT t.id, c.catalog_ord FROM processed_texts t JOIN model_catalog c ON c.domain = t.domain),"
+    " w AS (SELECT r.doc_id, r.model_ord, coalesce((SELECT c.performance.f1_score FROM model_catalog c WHERE c.catalog_ord = r.model_ord), 1.0) AS weight FROM ran r),"
+    " tot AS (SELECT doc_id, count(*) AS n_models, sum(weight) AS total FROM w GROUP BY doc_id),"
+    ' e AS (SELECT m.doc_id, m.model_ord, m.ent_ord, m.entity_type AS type, m.start_char AS start, m.end_char AS "end", coalesce(m.confidence, 1.0) AS confidence, w.weight FROM model_entities m JOIN w ON w.doc_id = m.doc_id AND w.model_ord = m.model_ord)'
+)
+_MAJORITY = (
+    f", vt AS (SELECT {_K}, type, count(*) AS votes, min((model_ord, ent_ord)) AS seen, avg(confidence) AS mean FROM e GROUP BY ALL),"
+    f" vr AS (SELECT *, sum(votes) OVER (PARTITION BY {_K}) AS n, row_number() OVER (PARTITION BY {_K} ORDER BY votes DESC, seen) AS k FROM vt),"
+    f" majority AS (SELECT {_K}, type, CASE WHEN n = 1 THEN mean * 0.7 ELSE least(mean * (0.5 + 0.5 * votes / n), 1.0) END AS confidence FROM vr WHERE k = 1)"
+)
+_WEIGHTED = (
+    f", wt AS (SELECT {_K}, type, sum(e.weight) AS w, sum(confidence * e.weight) AS cw, min((model_ord, ent_ord)) AS seen FROM e GROUP BY ALL),"
+    f' wr AS (SELECT wt.*, round(wt.w / tot.total, 12) AS part, row_number() OVER (PARTITION BY wt.doc_id, wt.start, wt."end" ORDER BY round(wt.w / tot.total, 12) DESC, seen) AS k FROM wt JOIN tot ON tot.doc_id = wt.doc_id),'
+    f" weighted AS (SELECT {_K}, type, least(cw / w * part, 1.0) AS confidence FROM wr WHERE k = 1)"
+)
+_UNION = (
+    f', ul AS (SELECT doc_id, list([{{"s": start, "e": "end", "t": type, "c": confidence}}] ORDER BY start, "end", model_ord, ent_ord) AS l FROM e GROUP BY doc_id),'
+    " ur AS (SELECT doc_id, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.s < x[1].e AND x[1].s < y.e)) = 0 THEN list_concat(acc, x)"
+    " ELSE list_transform(acc, lambda y, i: CASE WHEN i = list_position(list_transform(acc, lambda z: z.s < x[1].e AND x[1].s < z.e), true) AND x[1].c > y.c THEN x[1] ELSE y END) END)) AS u FROM ul),"
+    ' spread AS (SELECT doc_id, u.s AS start, u.e AS "end", u.t AS type, u.c AS confidence FROM ur)'
+)
+_COMMON = (
+    f", f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, model_ord ORDER BY ent_ord) AS k FROM e) WHERE k = 1),"
+    f" fa AS (SELECT {_K}, count(*) AS have, avg(confidence) AS mean FROM f GROUP BY ALL),"
+    f" ft AS (SELECT {_K}, type, row_number() OVER (PARTITION BY {_K} ORDER BY count(*) DESC, min(model_ord)) AS k FROM f GROUP BY {_K}, type),"
+    ' common AS (SELECT fa.doc_id, fa.start, fa."end", ft.type, least(fa.mean * 1.2, 1.0) AS confidence FROM fa JOIN tot ON tot.doc_id = fa.doc_id AND tot.n_models = fa.have JOIN ft ON ft.doc_id = fa.doc_id AND ft.start = fa.start AND ft."end" = fa."end" AND ft.k = 1)'
+)
+_PICK = " SELECT doc_id, start, \"end\", type, round(confidence, 10) AS confidence FROM "
 
 
-@query(
-    _V
-    + 'r AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, start, "end") AS n, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY votes DESC, seen) AS k FROM t) SELECT doc_id, start, "end", type, round(CASE WHEN n = 1 THEN mean * 0.7 ELSE least(mean * (0.5 + 0.5 * votes / n), 1.0) END, 10) AS confidence FROM r WHERE k = 1'
-)
+@query(_RAN + _MAJORITY + _PICK + "majority")
 def ensemble_majority(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(ensemble.majority(_model_entities(s, d)))
+    return _rounded(ensemble.majority(*_voted(s, d)))
 
 
-@query(
-    _V
-    + 'tot AS (SELECT doc_id, sum(weight) AS total FROM (SELECT DISTINCT doc_id, model_ord, weight FROM e) GROUP BY doc_id), r AS (SELECT t.*, round(t.w / tot.total, 12) AS part, row_number() OVER (PARTITION BY t.doc_id, t.start, t."end" ORDER BY round(t.w / tot.total, 12) DESC, seen) AS k FROM t JOIN tot ON tot.doc_id = t.doc_id)'
-    ' SELECT doc_id, start, "end", type, round(least(cw / w * part, 1.0), 10) AS confidence FROM r WHERE k = 1'
-)
+@query(_RAN + _WEIGHTED + _PICK + "weighted")
 def ensemble_weighted(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(ensemble.weighted(_model_entities(s, d)))
+    return _rounded(ensemble.weighted(*_voted(s, d)))
 
 
-@query()
+@query(_RAN + _UNION + _PICK + "spread")
 def ensemble_union(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(ensemble.union(_model_entities(s, d)))
+    return _rounded(ensemble.union(*_voted(s, d)))
 
 
-@query(
-    _E
-    + 'md AS (SELECT doc_id, count(DISTINCT model_ord) AS n_models FROM e GROUP BY doc_id), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end", model_ord ORDER BY ent_ord) AS k FROM e) WHERE k = 1),'
-    ' t AS (SELECT doc_id, start, "end", type, count(*) AS votes, min(model_ord) AS seen FROM f GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, start, "end" ORDER BY votes DESC, seen) AS k FROM t), a AS (SELECT doc_id, start, "end", count(*) AS have, avg(confidence) AS mean FROM f GROUP BY ALL)'
-    ' SELECT a.doc_id, a.start, a."end", b.type, round(least(a.mean * 1.2, 1.0), 10) AS confidence FROM a JOIN md ON md.doc_id = a.doc_id AND md.n_models = a.have JOIN b ON b.doc_id = a.doc_id AND b.start = a.start AND b."end" = a."end" AND b.k = 1'
-)
+@query(_RAN + _COMMON + _PICK + "common")
 def ensemble_intersection(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(ensemble.intersection(_model_entities(s, d)))
+    return _rounded(ensemble.intersection(*_voted(s, d)))
 
 
 @query(
-    _V
-    + 's AS (SELECT doc_id, start, "end", sum(votes) AS n, max(votes) AS lead FROM t GROUP BY ALL) SELECT s.doc_id, round(CASE WHEN max(n_models) <= 1 THEN 1.0 ELSE avg(CASE WHEN n = n_models THEN lead / n ELSE n / n_models * 0.5 END) END, 6) AS agreement FROM s JOIN md ON md.doc_id = s.doc_id GROUP BY s.doc_id'
+    _RAN
+    + f", st AS (SELECT {_K}, type, count(*) AS votes FROM e GROUP BY ALL), sp AS (SELECT {_K}, sum(votes) AS n, max(votes) AS lead FROM st GROUP BY ALL)"
+    " SELECT tot.doc_id, round(CASE WHEN max(n_models) <= 1 THEN 1.0 ELSE coalesce(avg(CASE WHEN n = n_models THEN lead / n ELSE n / n_models * 0.5 END), 1.0) END, 6) AS agreement FROM tot LEFT JOIN sp ON sp.doc_id = tot.doc_id GROUP BY tot.doc_id"
 )
 def ensemble_agreement(s: SparkSession, d: str) -> DataFrame:
-    return ensemble.agreement(_model_entities(s, d)).select("doc_id", F.round("agreement", 6).alias("agreement"))
+    return ensemble.agreement(*_voted(s, d)).select("doc_id", F.round("agreement", 6).alias("agreement"))
 
 
-@query()
+def _by_strategy_sql() -> str:
+    named = {"majority_vote": "majority", "weighted_vote": "weighted", "union": "spread", "intersection": "common"}
+    one = " UNION ALL ".join(f"SELECT type, '{k}' AS strategy FROM {v} JOIN tot ON tot.doc_id = {v}.doc_id AND n_models > 1 UNION ALL SELECT type, '{k}' FROM e JOIN tot ON tot.doc_id = e.doc_id AND n_models <= 1" for k, v in named.items())
+    return _RAN + _MAJORITY + _WEIGHTED + _UNION + _COMMON + f" SELECT strategy, type, count(*) AS n FROM ({one}) GROUP BY ALL"
+
+
+@query(_by_strategy_sql())
 def ensemble_by_strategy(s: SparkSession, d: str) -> DataFrame:
-    """Mentions kept by each strategy."""
-    e = _model_entities(s, d)
+    """Mentions kept by each strategy, by type."""
+    e, ran = _model_entities(s, d), cut(_ran(s, d))
     out = None
     for name in ensemble.STRATEGIES:
-        one = ensemble.merge(e, name).groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("strategy", F.lit(name))
+        one = ensemble.merge(e, name, ran).groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("strategy", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(_RAN + f" SELECT {_K}, string_agg(model_id, ',' ORDER BY model_ord, ent_ord) AS sources, count(*) AS reports FROM (SELECT m.doc_id, m.start_char AS start, m.end_char AS \"end\", m.model_ord, m.ent_ord, m.model_id FROM model_entities m) GROUP BY ALL")
+def ensemble_sources(s: SparkSession, d: str) -> DataFrame:
+    """The models behind each merged span, in model order, and how many reports it has."""
+    e = _model_entities(s, d)
+    n = e.groupBy(*ensemble.KEYS).agg(F.count(F.lit(1)).alias("reports"))
+    joined = F.when(F.size("sources") > 0, F.array_join("sources", ","))
+    return ensemble.majority(e, None).select(*ensemble.KEYS, joined.alias("sources")).join(n, ensemble.KEYS)
+
+
 # --- catalog --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -369,7 +534,10 @@ def kb_hit_rate(s: SparkSession, d: str) -> DataFrame:
     return knowledge.hit_rate(_looked_up(s, d), "doc_id")
 
 
-@query()
+@query(
+    "WITH r AS (" + json_sql.LEVELS["relationships"] + "), e AS (SELECT DISTINCT source_id, target_id FROM r WHERE source_id IS NOT NULL AND target_id IS NOT NULL), w AS (SELECT source_id, target_id, 1 AS hops FROM e UNION ALL SELECT a.source_id, b.target_id, 2 FROM e a JOIN e b ON b.source_id = a.target_id)"
+    " SELECT source_id, target_id, min(hops) AS hops FROM w WHERE source_id <> target_id GROUP BY ALL"
+)
 def kb_relationship_hops(s: SparkSession, d: str) -> DataFrame:
     r = flatten_tables("relationships", *json_tables(s, d))
     # the walk reads the edges several times; without the cut each reading parses all JSON again
@@ -421,7 +589,7 @@ def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
         p = Pipeline(name)
         for m in listed:
             if m.domain == name:
-                p.add_model(m.model_id, lambda _, k=m.catalog_ord, n=name: stored.where((F.col("model_ord") == k) & (F.col("domain") == n)).select("doc_id", "ent_ord", "text", "type", "start", "end", "confidence"), m.weight)
+                p.add_model(m.model_id, lambda _, k=m.catalog_ord, n=name: stored.where((F.col("model_ord") == k) & (F.col("domain") == n)).select("doc_id", "ent_ord", "text", "type", "start", "end", "confidence", "model_id"), m.weight)
         one = p.found(share.select("doc_id", "text"))
         found = one if found is None else found.unionByName(one)
     # all domains share the knowledge bases, so one lookup serves them

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.flatten import flatten_tables
 from lectern.operators.sessions import sessionize
+from lectern.plans import json_sql
 from lectern.session import read_table, spread
 
 GAP_SECONDS = 1800
@@ -50,7 +51,7 @@ _RUNS = """
         FROM g JOIN s ON g.user_id = s.user_id AND g.no = s.no GROUP BY ALL)
 """
 
-ORACLES = {
+ORACLES = {f"p2_{level}": sql for level, sql in json_sql.LEVELS.items()} | {
     "p7_found": _RUNS + "SELECT user_id, first_id, last_id FROM t",
     "p7_sessions": _RUNS + "SELECT user_id, start_ts, end_ts, round(epoch_us(end_ts - start_ts) / 1e6, 6) AS duration_s, CAST(n_events AS BIGINT) AS n_events, first_id, last_id FROM t",
 }

@@ -69,13 +69,24 @@ class Pipeline:
             out = one if out is None else out.unionByName(one)
         return out
 
+    def ran(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, model_ord, weight): every annotator runs on every document, whatever it finds."""
+        models = F.array(*(F.struct(F.lit(i).alias("model_ord"), F.lit(float(w)).alias("weight")) for i, (_, w) in enumerate(self.annotators.values())))
+        return docs.select("doc_id", F.explode(models).alias("m")).select("doc_id", "m.*")
+
+    def agreement(self, docs: DataFrame) -> DataFrame:
+        """(doc_id, agreement) of docs; 1 with fewer than two annotators."""
+        if len(self.annotators) < 2:
+            return docs.select("doc_id", F.lit(1.0).alias("agreement"))
+        return ensemble.agreement(self.extracted(docs), self.ran(docs))
+
     def found(self, docs: DataFrame) -> DataFrame:
         """(doc_id, start, end, type, text, confidence, source) of docs (doc_id, text), before any lookup."""
         said, parts = self.extracted(docs), []
         if said is not None:
             # one annotator has nothing to be merged with
-            merged = ensemble.merge(said, self.strategy or self.settings["ensemble_strategy"]) if len(self.annotators) > 1 else said.select(*ensemble.KEYS, "type", "text", "confidence")
-            parts.append(merged.withColumn("source", F.lit("model")))
+            merged = ensemble.merge(said, self.strategy or self.settings["ensemble_strategy"], self.ran(docs)) if len(self.annotators) > 1 else said
+            parts.append(merged.select(*ensemble.KEYS, "type", "text", "confidence").withColumn("source", F.lit("model")))
         if self.use_patterns:
             domain = self.domain if self.domain in ("medical", "legal", "financial") else "general"
             found = extract(docs.where("text IS NOT NULL"), rules_of(domain, self.rules), "doc_id", "text")
