@@ -1,11 +1,17 @@
 """Consensus of several annotators' labelled spans: minimax conditional entropy over label patterns.
 
-Mentions are built from overlapping spans; each gives a pattern: for every annotator the type it gave, nothing (it worked on the text but
-passed the mention over), or no opinion. Mentions with the same pattern are the same item, so the model is fitted on distinct patterns
-with counts, one pass over them for each round; the driver holds annotator parameters only. Annotator w labels an item of class c as k
-with probability proportional to exp(tau_item(c, k) + sigma_w(c, k)); the tilting parameters are found by regularised ascent on the dual,
-in turn with the posteriors of the classes. Annotators that repeat each other are found by pairwise agreement beyond what their accuracies
-allow, and share one vote where they agree.
+Mentions are built from overlapping spans: of each run of overlapping spans the one with most votes is a mention, together with all that
+overlap it; what lies wholly left or right of it is cut in the same way, until nothing is left. Each mention gives a pattern: for every
+annotator the type it gave, nothing (it worked on the text but passed the mention over), or no opinion. Mentions with the same pattern are
+the same item, so the model is fitted on distinct patterns with counts.
+
+Annotator w labels an item i of class c as k with probability proportional to exp(tau_i(c, k) + sigma_w(c, k)). The dual of the minimax
+conditional entropy problem, with its regularisation, is maximised block by block: the posteriors of the classes, the items' tilting
+parameters and the annotators' ones in turn, the others held fixed. Steps are gradients over curvatures, and a step that would lower the
+objective is halved, so it never falls; rounds go on until it rises by less than a share TOLERANCE of itself. The driver holds annotator
+parameters only.
+
+Annotators that repeat each other are found by pairwise agreement beyond what their accuracies allow, and share one vote where they agree.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.functions.arrays import let
 from lectern.session import cut, lanes
 
 CLASSES = ("NONE", "PERSON", "ORG", "DRUG", "GPE", "CODE")
@@ -30,10 +37,18 @@ TYPE_NAMES = {
     "GPE": ("GPE", "LOC", "LOCATION", "PLACE", "CITY", "GEO"),
     "CODE": ("CODE", "ID", "IDENTIFIER", "NUMBER", "REF", "REFERENCE"),
 }
-MAX_MODELS = 60
+#: Annotators up to which their list is held by the driver; more raise an error.
+MAX_MODELS = 10_000
 ITEM_PENALTY = 4.0
 ANNOTATOR_PENALTY = 2.0
-ROUNDS = 8
+#: The fit ends when a round raises the objective by less than this share of it; the bound on rounds raises an error if it is ever met.
+TOLERANCE, MAX_ROUNDS = 1e-3, 200
+#: Steps of the items' parameters within a round.
+ITEM_STEPS = 3
+#: Distinct patterns for each task of the fit.
+PATTERNS_PER_TASK = 20_000
+#: Characters of a stretch of text in which reports are put in order by one task.
+STRETCH = 4096
 #: Votes that a span loses for each end within a word, or on white space or a mark that belongs to no name.
 BAD_END = 1.5
 #: How far the same wording elsewhere, and the same first or last word elsewhere, count towards a mention's type.
@@ -51,8 +66,40 @@ def type_index(raw: Column) -> Column:
     return out
 
 
+def _islands(r: DataFrame) -> DataFrame:
+    """r (doc_id, start, end, ...) with island, the first start of the run of overlapping spans that a row belongs to.
+
+    In two levels, so that no task orders all reports of a document: within stretches of its text, then over one row for each stretch.
+    """
+    r = r.withColumn("stretch", F.floor(F.col("start") / STRETCH))
+    w = Window.partitionBy("doc_id", "stretch").orderBy("start", F.desc("end"))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumn("reach", F.max("end").over(before))
+    v = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = r.groupBy("doc_id", "stretch").agg(F.max("end").alias("end")).select("doc_id", "stretch", F.max("end").over(v).alias("reach_0"))
+    r = r.join(ends, ["doc_id", "stretch"])
+    opens = F.coalesce(F.col("start") >= F.greatest("reach", "reach_0"), F.lit(True))
+    r = r.withColumn("opened", F.when(opens, F.col("start")))
+    r = r.withColumn("own", F.max("opened").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = r.groupBy("doc_id", "stretch").agg(F.max("opened").alias("opened")).select("doc_id", "stretch", F.max("opened").over(v).alias("own_0"))
+    return r.join(last, ["doc_id", "stretch"]).withColumn("island", F.coalesce("own", "own_0")).drop("stretch", "reach", "reach_0", "opened", "own", "own_0")
+
+
+def _split(said: Column) -> Column:
+    """The mentions of an island, each as an array of reports: those that overlap the span with most votes (the longer one, the earlier one
+    of equals), then the same for what is left on either side, which meets no report of the other side."""
+    spans = F.array_distinct(F.transform(said, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))))
+    ranked = F.array_sort(F.transform(spans, lambda p: F.struct((-F.size(F.filter(said, lambda x: (x["start"] == p["s"]) & (x["end"] == p["e"])))).alias("v"), (p["s"] - p["e"]).alias("l"), p["s"].alias("s"), p["e"].alias("e"))))
+    none = F.expr("cast(array() as array<struct<v:int,l:int,s:int,e:int>>)")
+    meets = lambda p, a, b: (p["s"] < b) & (a < p["e"])
+    chosen = F.aggregate(ranked, none, lambda acc, p: F.when(F.exists(acc, lambda q: meets(q, p["s"], p["e"])), acc).otherwise(F.concat(acc, F.array(p))))
+    first = lambda all_, x: F.get(F.filter(all_, lambda q: meets(q, x["start"], x["end"])), F.lit(0))
+    cut = let(chosen, lambda all_: F.transform(all_, lambda p: F.filter(said, lambda x: first(all_, x) == p)))
+    return F.when(F.size(spans) == 1, F.array(said)).otherwise(cut)
+
+
 def mentions(df: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(doc_id, mention key, pattern, said) of each mention, and the annotators in the order of the pattern's places.
+    """(doc_id, pattern, said) of each mention, and the annotators in the order of the pattern's places.
 
     said lists what each annotator reported: model (its place), label, confidence, start, end, text. Repeated reports count once; rows with
     null document, model or span, or an empty span, are left out; a type that is none of the known ones is a report without a type.
@@ -62,30 +109,25 @@ def mentions(df: DataFrame) -> tuple[DataFrame, list[int]]:
     if len(models) > MAX_MODELS:
         raise ValueError(f"more than {MAX_MODELS} annotators")
     models.sort()
-    place = F.coalesce(*(F.when(F.col("model_ord") == m, F.lit(i)) for i, m in enumerate(models)), F.lit(0)).cast("int")
+    places = F.array(*map(F.lit, models)) if models else F.array(F.lit(0))
+    place = (F.array_position(places, F.col("model_ord")) - 1).cast("int")
     r = rows.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("model"), type_index(F.col("entity_type")).alias("label"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "text")
     # all but one copy of a report go before the shuffle by document
     r = r.groupBy("doc_id", "model", "start", "end", "label").agg(F.max("confidence").alias("confidence"), F.max("text").alias("text"))
-    w = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "model", "label")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn("opens", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("island", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("active", F.expr("bit_or(shiftleft(1L, model)) OVER (PARTITION BY doc_id)"))
-    r = r.withColumn("votes", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "island", "start", "end")))
-    r = r.withColumn("best", F.max(F.struct(F.col("votes"), (F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("back"), F.col("start"), F.col("end"))).over(Window.partitionBy("doc_id", "island")))
-    side = F.when(F.col("end") <= F.col("best.start"), -1).when(F.col("start") >= F.col("best.end"), 1).otherwise(0)
-    r = r.withColumn("side", side)
+    active = r.groupBy("doc_id").agg(F.array_sort(F.collect_set("model")).alias("active"))
     said = F.array_sort(F.collect_list(F.struct("model", "label", "confidence", "start", "end", "text")))
-    items = r.groupBy("doc_id", "island", "side").agg(said.alias("said"), F.max("active").alias("active"))
+    islands = _islands(r).groupBy("doc_id", "island").agg(said.alias("said")).join(active, "doc_id")
+    items = islands.select("doc_id", "active", F.explode(_split(F.col("said"))).alias("said"))
+
     def label(m: Column) -> Column:
         """What annotator m says: its surest type, - without a type or an opinion, 0 if it passed the mention over."""
         own = F.filter("said", lambda s: s["model"] == m)
         typed = F.transform(F.filter(own, lambda s: s["label"].isNotNull()), lambda s: F.struct(s["confidence"], s["label"]))
-        surest = F.try_element_at(F.sort_array(typed, asc=False), F.lit(1))["label"].cast("string")
-        at_work = F.col("active").bitwiseAND(F.pow(F.lit(2), m).cast("long")) != 0
-        return F.coalesce(surest, F.when((F.size(own) == 0) & at_work, "0"), F.lit("-"))
+        surest = F.get(F.sort_array(typed, asc=False), F.lit(0))["label"].cast("string")
+        return F.coalesce(surest, F.when((F.size(own) == 0) & F.array_contains("active", m), "0"), F.lit("-"))
 
     spoken = F.transform(F.sequence(F.lit(0), F.lit(max(len(models) - 1, 0))), label)
-    return items.withColumn("pattern", F.array_join(spoken, "")), models
+    return items.select("doc_id", F.array_join(spoken, "").alias("pattern"), "said"), models
 
 
 def _matrix(patterns: list[str], n: int) -> np.ndarray:
@@ -110,32 +152,57 @@ def _weights(z: np.ndarray, repeats: np.ndarray) -> np.ndarray:
     return np.where(z >= 0, 1 / crowd, 0.0)
 
 
-def posteriors(z: np.ndarray, model: Model, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the classes, the annotators' label probabilities (item, annotator, class, label), and their shares of a vote."""
-    n, k = z.shape
-    c = len(CLASSES)
-    share = _weights(z, model.repeats)
-    said = np.zeros((n, k, c))
+def _factors(tau: np.ndarray, sigma: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(tau), exp(sigma) and the normalisers (item, annotator, class): exponentials of sums are products, so no array over all four is made."""
+    et, es = np.exp(tau), np.exp(sigma)
+    z = np.stack([et[:, c] @ es[:, c].T for c in range(tau.shape[1])], axis=2)
+    return et, es, z
+
+
+def _chosen(z: np.ndarray, tau: np.ndarray, sigma: np.ndarray, norm: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each item's labels under each class, each annotator by its share."""
+    i = np.arange(len(z))[:, None]
+    label = np.maximum(z, 0)
+    t = tau[i, :, label]  # item, annotator, class
+    s = sigma[np.arange(z.shape[1])[None], :, label]
+    return ((t + s - np.log(norm)) * share[:, :, None]).sum(axis=1)
+
+
+def _said_sums(z: np.ndarray, weight: np.ndarray, c: int) -> np.ndarray:
+    """Sum of the annotators' weights for each item and label."""
+    out = np.zeros((len(z), c))
     i, w = np.nonzero(z >= 0)
-    said[i, w, z[i, w]] = 1
+    np.add.at(out, (i, z[i, w]), weight[i, w])
+    return out
+
+
+def posteriors(z: np.ndarray, model: Model, steps: int = ITEM_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the classes, the items' tilting parameters, the annotators' shares of a vote, and each item's part of the objective.
+
+    Posteriors and item parameters are raised in turn; the curvature of a softmax is at most half its weight in each direction.
+    """
+    n, c = len(z), len(CLASSES)
+    share = _weights(z, model.repeats)
     tau = np.zeros((n, c, c))
-    q = np.zeros((n, c))
-    p = np.zeros((n, k, c, c))
-    for r in range(rounds):
-        e = tau[:, None] + model.sigma[None]
-        e -= e.max(axis=3, keepdims=True)
-        p = np.exp(e)
-        p /= p.sum(axis=3, keepdims=True)
-        chosen = np.einsum("nkcl,nkl->nkc", np.log(p + 1e-300), said)
-        score = np.log(model.prior)[None] + (chosen * share[:, :, None]).sum(axis=1)
-        score -= score.max(axis=1, keepdims=True)
-        q = np.exp(score)
-        q /= q.sum(axis=1, keepdims=True)
-        if r + 1 < rounds:
-            gap = (share[:, :, None, None] * (said[:, :, None, :] - p)).sum(axis=1)
-            curve = (share[:, :, None, None] * p * (1 - p)).sum(axis=1)
-            tau += (q[:, :, None] * gap - ITEM_PENALTY * tau) / (q[:, :, None] * curve + ITEM_PENALTY)
-    return q, p, share
+    said = _said_sums(z, share, c)
+    weight = share.sum(axis=1)
+    log_prior = np.log(model.prior)
+    for r in range(steps + 1):
+        et, es, norm = _factors(tau, model.sigma)
+        score = log_prior[None] + _chosen(z, tau, model.sigma, norm, share)
+        top = score.max(axis=1, keepdims=True)
+        q = np.exp(score - top)
+        total = q.sum(axis=1, keepdims=True)
+        q /= total
+        if r == steps:
+            break
+        ratio = share[:, :, None] / norm
+        want = np.stack([et[:, k] * (ratio[:, :, k] @ es[:, k]) for k in range(c)], axis=1)
+        slope = q[:, :, None] * (said[:, None, :] - want) - ITEM_PENALTY * tau
+        tau += slope / (0.5 * q * weight[:, None] + ITEM_PENALTY)[:, :, None]
+    # the posteriors are the best for these parameters, so likelihood and entropy together are the logarithm of the sum
+    value = (top + np.log(total))[:, 0] - 0.5 * ITEM_PENALTY * (tau**2).sum(axis=(1, 2))
+    return q, tau, share, value
 
 
 def _start(agree: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +266,8 @@ def _sum(patterns: DataFrame, fn) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(patterns: DataFrame, k: int, rounds: int = ROUNDS) -> tuple[Model, dict[str, np.ndarray]]:
-    """The model of all patterns (pattern, n), k annotators; and the last sums of expected counts."""
+def fit(patterns: DataFrame, k: int) -> tuple[Model, list[float]]:
+    """The model of all patterns (pattern, n), k annotators; and the objective after each round, which never falls."""
     c = len(CLASSES)
 
     def pairs(p: list[str], n: np.ndarray) -> dict[str, np.ndarray]:
@@ -215,47 +282,59 @@ def fit(patterns: DataFrame, k: int, rounds: int = ROUNDS) -> tuple[Model, dict[
 
     s = _sum(patterns, pairs)
     if not s:
-        return Model(np.zeros((k, c, c)), np.full(c, 1 / c), np.zeros((k, k))), {}
+        return Model(np.zeros((k, c, c)), np.full(c, 1 / c), np.zeros((k, k))), []
     accuracy, repeats = _start(s["agree"].reshape(k, k), s["both"].reshape(k, k))
     model = _first_model(accuracy, repeats, np.clip(s["missed"] / np.maximum(s["active"], 1), 0.02, 0.6))
-    counts: dict[str, np.ndarray] = {}
-    for _ in range(rounds):
+    values: list[float] = []
+    best, size, tried = (model, np.zeros_like(model.sigma), model.prior), 1.0, 0
+    while True:
 
         def expected(p: list[str], n: np.ndarray, model: Model = model) -> dict[str, np.ndarray]:
             z = _matrix(p, k)
-            q, prob, share = posteriors(z, model)
-            said = np.zeros((len(z), k, c))
+            q, tau, share, value = posteriors(z, model)
+            mass = n[:, None, None] * share[:, :, None] * q[:, None, :]
+            et, es, norm = _factors(tau, model.sigma)
+            got = np.zeros((k, c, c))
             i, w = np.nonzero(z >= 0)
-            said[i, w, z[i, w]] = 1
-            mass = n[:, None, None] * (z >= 0)[:, :, None] * q[:, None, :]
-            return {
-                "got": np.einsum("nkc,nkl->kcl", mass, said),
-                "want": np.einsum("nkc,nkcl->kcl", mass, prob),
-                "curve": np.einsum("nkc,nkcl->kcl", mass, prob * (1 - prob)),
-                "prior": (q * n[:, None]).sum(axis=0),
-                "share": (n[:, None] * share).sum(axis=0),
-            }
-
-        counts = {name: v.reshape(k, c, c) if v.size == k * c * c else v for name, v in _sum(patterns, expected).items()}
-        step = (counts["got"] - counts["want"] - ANNOTATOR_PENALTY * model.sigma) / (counts["curve"] + ANNOTATOR_PENALTY)
-        sigma = model.sigma + np.clip(step, -2, 2)
-        sigma -= sigma.mean(axis=2, keepdims=True)
-        prior = counts["prior"] + 1
-        model = Model(sigma, prior / prior.sum(), repeats)
-    return model, counts
-
-
-def _span(said: list[dict], share: dict[int, float], skill: np.ndarray) -> tuple[int, int]:
-    """The span with most votes, after votes for bad ends are taken off."""
+            for cls in range(c):
+                np.add.at(got[:, cls], (w, z[i, w]), mass[i, w, cls])
+            want = np.stack([es[:, cls] * ((mass[:, :, cls] / norm[:, :, cls]).T @ et[:, cls]) for cls in range(c)], axis=1)
+            square = np.stack([es[:, cls] ** 2 * ((mass[:, :, cls] / norm[:, :, cls] ** 2).T @ et[:, cls] ** 2) for cls in range(c)], axis=1)
+            return {"got": got, "want": want, "curve": want - square, "prior": (q * n[:, None]).sum(axis=0), "value": np.array([value @ n])}
+
+        t = _sum(patterns, expected)
+        got, want, curve = (t[x].reshape(k, c, c) for x in ("got", "want", "curve"))
+        value = float(t["value"][0] - 0.5 * ANNOTATOR_PENALTY * (model.sigma**2).sum() + np.log(model.prior).sum())
+        tried += 1
+        if tried > MAX_ROUNDS:
+            raise RuntimeError(f"the fit did not settle in {MAX_ROUNDS} rounds")
+        if values and value < values[-1]:
+            # too far: half the way, from where it stood
+            size /= 2
+            if size < 1 / 64:
+                return best[0], values
+            model = Model(best[0].sigma + size * best[1], best[0].prior + size * (best[2] - best[0].prior), repeats)
+            continue
+        values.append(value)
+        if len(values) > 1 and values[-1] - values[-2] <= TOLERANCE * abs(values[-2]):
+            return model, values
+        step = (got - want - ANNOTATOR_PENALTY * model.sigma) / (curve + ANNOTATOR_PENALTY)
+        prior = t["prior"] + 1
+        best, size = (model, np.clip(step, -2, 2), prior / prior.sum()), 1.0
+        model = Model(model.sigma + best[1], best[2], repeats)
+
+
+def _span(said: list[tuple[int, int, int, str | None]], share: dict[int, float], skill: np.ndarray) -> tuple[int, int]:
+    """The span of the reports (model, start, end, text) with most votes, after votes for bad ends are taken off."""
     votes: dict[tuple[int, int], float] = {}
     texts: dict[tuple[int, int], str] = {}
     voted: set[tuple[int, int, int]] = set()
-    for s in said:
-        at = (s["start"], s["end"])
-        if (s["model"], *at) not in voted:
-            voted.add((s["model"], *at))
-            votes[at] = votes.get(at, 0.0) + share.get(s["model"], 1.0) * skill[s["model"]]
-        texts[at] = s["text"] or ""
+    for model, start, end, text in said:
+        at = (start, end)
+        if (model, start, end) not in voted:
+            voted.add((model, start, end))
+            votes[at] = votes.get(at, 0.0) + share.get(model, 1.0) * skill[model]
+        texts[at] = text or ""
     if len(votes) == 1:
         return next(iter(votes))
     chars: dict[int, str] = {}
@@ -277,31 +356,47 @@ def resolve(items: DataFrame, model: Model, k: int) -> DataFrame:
     """(doc_id, start_char, end_char, text, n_models, typed, q) of each mention: its span, votes by class, and the classes' posterior."""
     skill = reliability(model)
     schema = "doc_id long, start_char int, end_char int, text string, n_models int, typed array<int>, q array<double>"
+    spans = F.size(F.array_distinct(F.transform("said", lambda x: F.struct(x["start"], x["end"]))))
+    # where all give the same span there is nothing to choose, and the reports stay in the JVM
+    d = items.select(
+        "doc_id",
+        "pattern",
+        F.size(F.array_distinct(F.transform("said", lambda x: x["model"]))).alias("n_models"),
+        F.get("said", F.lit(0))["start"].alias("start"),
+        F.get("said", F.lit(0))["end"].alias("end"),
+        F.get("said", F.lit(0))["text"].alias("text"),
+        F.when(spans > 1, F.transform("said", lambda x: F.struct(x["model"], x["start"], x["end"], x["text"]))).alias("said"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            pattern = b.column("pattern").to_pylist()
-            distinct = sorted(set(pattern))
-            of = {p: i for i, p in enumerate(distinct)}
-            q, share = [], []
+            coded = b.column("pattern").dictionary_encode()
+            distinct, of = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            q, share, typed = [], [], []
             for lo in range(0, len(distinct), 4096):
-                a, _, s = posteriors(_matrix(distinct[lo : lo + 4096], k), model)
+                z = _matrix(distinct[lo : lo + 4096], k)
+                a, _, s, _ = posteriors(z, model)
                 q.append(a)
                 share.append(s)
-            qs, shares = np.concatenate(q), np.concatenate(share)
-            out: list[tuple] = []
-            for doc, p, said in zip(b.column("doc_id").to_pylist(), pattern, b.column("said").to_pylist()):
-                i = of[p]
-                start, end = _span(said, {m: float(shares[i][m]) or 1.0 for m in {s["model"] for s in said}}, skill)
-                text = next(s["text"] for s in said if (s["start"], s["end"]) == (start, end))
-                out.append((doc, start, end, text, len({s["model"] for s in said}), [p.count(str(c)) for c in range(len(CLASSES))], qs[i].tolist()))
-            columns = list(zip(*out))
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "start_char", "end_char", "text", "n_models", "typed", "q"])
-
-    return items.select("doc_id", "pattern", "said").mapInArrow(run, schema)
+                typed.append((z[:, :, None] == np.arange(len(CLASSES))).sum(axis=1))
+            qs, shares, counts = np.concatenate(q)[of], np.concatenate(share), np.concatenate(typed)[of]
+            start, end = b.column("start").to_numpy().copy(), b.column("end").to_numpy().copy()
+            text = b.column("text").to_pylist()
+            said = b.column("said")
+            for i in np.flatnonzero(said.is_valid().to_numpy(zero_copy_only=False)):
+                reports = [tuple(x.values()) for x in said[int(i)].as_py()]
+                row = shares[of[i]]
+                start[i], end[i] = _span(reports, {m: float(row[m]) or 1.0 for m, *_ in reports}, skill)
+                text[i] = next(t for _, s, e, t in reports if (s, e) == (start[i], end[i]))
+            offsets = pa.array(np.arange(b.num_rows + 1) * len(CLASSES), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(text, pa.string()), b.column("n_models"), pa.ListArray.from_arrays(offsets, pa.array(counts.ravel().astype("int32"))), pa.ListArray.from_arrays(offsets, pa.array(qs.ravel()))],
+                names=["doc_id", "start_char", "end_char", "text", "n_models", "typed", "q"],
+            )
+
+    return d.mapInArrow(run, schema)
 
 
 def pooled(resolved: DataFrame, model: Model) -> DataFrame:
@@ -326,14 +421,19 @@ def pooled(resolved: DataFrame, model: Model) -> DataFrame:
     tilt = [F.col("weight") * F.log((own[i] + F.lit(prior[i])) / (n + 1) / F.lit(prior[i])) for i in range(c)]
     tilted = lines.join(sums, "key").groupBy("doc_id", "start_char", "end_char").agg(*(F.sum(tilt[i]).alias(f"t{i}") for i in range(c)))
     all_ = resolved.join(tilted, ["doc_id", "start_char", "end_char"])
-    score = [F.log(F.greatest(F.col("q")[i], F.lit(1e-12))) + F.col(f"t{i}") for i in range(c)]
+    return decided(all_, [F.log(F.greatest(F.col("q")[i], F.lit(1e-12))) + F.col(f"t{i}") for i in range(c)])
+
+
+def decided(mentions_: DataFrame, score: list[Column]) -> DataFrame:
+    """The class with the highest score of each mention, its certainty, and the share of typed reports that agree with it."""
+    c = len(CLASSES)
     top = F.greatest(*score)
     chance = [F.exp(x - top) for x in score]
     best = F.when(F.lit(False), F.lit(0))
     for i in range(c):
         best = best.when(score[i] == top, F.lit(i))
     said = F.aggregate(F.slice("typed", 2, c - 1), F.lit(0), lambda x, y: x + y)
-    return all_.select(
+    return mentions_.select(
         "doc_id",
         "start_char",
         "end_char",
@@ -354,18 +454,24 @@ def reliability(model: Model) -> np.ndarray:
     return right @ share
 
 
-def consensus(df: DataFrame) -> tuple[DataFrame, list[tuple[int, float, float, float]]]:
-    """Mentions with consensus types, and for each annotator (model_ord, chance to be right, share of mentions found, largest repetition)."""
+def consensus(df: DataFrame, wording: bool = True) -> tuple[DataFrame, list[tuple[int, float, float, float]]]:
+    """Mentions with consensus types, and for each annotator (model_ord, chance to be right, share of mentions found, largest repetition).
+
+    With wording, a mention's class is weighed with what other mentions of the same wording are, an addition to the fitted model; without,
+    the model alone decides. An empty table gives no rows. Other columns are ignored.
+    """
     items, models = mentions(df)
     if not models:
         return df.sparkSession.createDataFrame([], "doc_id long, start_char int, end_char int, entity_type string, n_models int, agreement double, certainty double"), []
-    n = lanes(df.sparkSession)
-    items = cut(items.select("doc_id", "pattern", "said").repartition(n))
-    patterns = cut(items.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).repartition(n, "pattern"))
+    items = cut(items.repartition(lanes(df.sparkSession)))
+    patterns = items.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    # every round is a pass over the patterns: a few tasks with much to do each
+    patterns = cut(patterns.repartition(min(lanes(df.sparkSession), 1 + items.select("pattern").agg(F.approx_count_distinct("pattern")).first()[0] // PATTERNS_PER_TASK)))
     model, _ = fit(patterns, len(models))
     p = np.exp(model.sigma - model.sigma.max(axis=2, keepdims=True))
     p /= p.sum(axis=2, keepdims=True)
     found = ((1 - p[:, 1:, 0]) * (model.prior[1:] / model.prior[1:].sum())).sum(axis=1)
     right = reliability(model)
     table = [(m, float(right[i]), float(found[i]), float(model.repeats[i].max())) for i, m in enumerate(models)]
-    return pooled(cut(resolve(items, model, len(models))), model), table
+    resolved = resolve(items, model, len(models))
+    return (pooled(cut(resolved), model) if wording else decided(resolved, [F.log(F.greatest(F.col("q")[i], F.lit(1e-12))) for i in range(len(CLASSES))])), table
