@@ -67,29 +67,36 @@ def type_index(raw: Column) -> Column:
 
 
 def _islands(r: DataFrame) -> DataFrame:
-    """r (doc_id, start, end, ...) with island, the first start of the run of overlapping spans that a row belongs to.
+    """r (doc_id, start, end, model, ...) with island, the first start of the run of overlapping spans that a row belongs to, and active, a
+    digit for each annotator: 1 if it reported anything in the document.
 
     In two levels, so that no task orders all reports of a document: within stretches of its text, then over one row for each stretch.
     """
     r = r.withColumn("stretch", F.floor(F.col("start") / STRETCH))
-    w = Window.partitionBy("doc_id", "stretch").orderBy("start", F.desc("end"))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    r = r.withColumn("reach", F.max("end").over(before))
-    v = Window.partitionBy("doc_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    ends = r.groupBy("doc_id", "stretch").agg(F.max("end").alias("end")).select("doc_id", "stretch", F.max("end").over(v).alias("reach_0"))
+    # frames by value: reports that begin at the same place are alike, in whatever order they come
+    w = Window.partitionBy("doc_id", "stretch").orderBy("start")
+    # read for both levels; without the cut each reading orders all reports again
+    r = cut(r.withColumn("reach", F.max("end").over(w.rangeBetween(Window.unboundedPreceding, -1))))
+    doc = Window.partitionBy("doc_id")
+    v = doc.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = r.groupBy("doc_id", "stretch").agg(F.max("end").alias("end"), F.collect_set("model").alias("models"))
+    there = F.array_distinct(F.flatten(F.collect_list("models").over(doc)))
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.array_max(there)), lambda m: F.when(F.array_contains(there, m), "1").otherwise("0")), "")
+    ends = ends.select("doc_id", "stretch", F.max("end").over(v).alias("reach_0"), digits.alias("active"))
     r = r.join(ends, ["doc_id", "stretch"])
     opens = F.coalesce(F.col("start") >= F.greatest("reach", "reach_0"), F.lit(True))
     r = r.withColumn("opened", F.when(opens, F.col("start")))
-    r = r.withColumn("own", F.max("opened").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     last = r.groupBy("doc_id", "stretch").agg(F.max("opened").alias("opened")).select("doc_id", "stretch", F.max("opened").over(v).alias("own_0"))
-    return r.join(last, ["doc_id", "stretch"]).withColumn("island", F.coalesce("own", "own_0")).drop("stretch", "reach", "reach_0", "opened", "own", "own_0")
+    own = F.max("opened").over(w.rangeBetween(Window.unboundedPreceding, 0))
+    return r.withColumn("own", own).join(last, ["doc_id", "stretch"]).withColumn("island", F.coalesce("own", "own_0")).drop("stretch", "reach", "reach_0", "opened", "own", "own_0")
 
 
 def _split(said: Column) -> Column:
     """The mentions of an island, each as an array of reports: those that overlap the span with most votes (the longer one, the earlier one
     of equals), then the same for what is left on either side, which meets no report of the other side."""
     spans = F.array_distinct(F.transform(said, lambda x: F.struct(x["start"].alias("s"), x["end"].alias("e"))))
-    ranked = F.array_sort(F.transform(spans, lambda p: F.struct((-F.size(F.filter(said, lambda x: (x["start"] == p["s"]) & (x["end"] == p["e"])))).alias("v"), (p["s"] - p["e"]).alias("l"), p["s"].alias("s"), p["e"].alias("e"))))
+    votes = lambda p: F.size(F.array_distinct(F.transform(F.filter(said, lambda x: (x["start"] == p["s"]) & (x["end"] == p["e"])), lambda x: F.struct(x["model"], x["label"]))))
+    ranked = F.array_sort(F.transform(spans, lambda p: F.struct((-votes(p)).alias("v"), (p["s"] - p["e"]).alias("l"), p["s"].alias("s"), p["e"].alias("e"))))
     none = F.expr("cast(array() as array<struct<v:int,l:int,s:int,e:int>>)")
     meets = lambda p, a, b: (p["s"] < b) & (a < p["e"])
     chosen = F.aggregate(ranked, none, lambda acc, p: F.when(F.exists(acc, lambda q: meets(q, p["s"], p["e"])), acc).otherwise(F.concat(acc, F.array(p))))
@@ -112,11 +119,10 @@ def mentions(df: DataFrame) -> tuple[DataFrame, list[int]]:
     places = F.array(*map(F.lit, models)) if models else F.array(F.lit(0))
     place = (F.array_position(places, F.col("model_ord")) - 1).cast("int")
     r = rows.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("model"), type_index(F.col("entity_type")).alias("label"), F.coalesce("confidence", F.lit(0.5)).alias("confidence"), F.col("start_char").alias("start"), F.col("end_char").alias("end"), "text")
-    # all but one copy of a report go before the shuffle by document
-    r = r.groupBy("doc_id", "model", "start", "end", "label").agg(F.max("confidence").alias("confidence"), F.max("text").alias("text"))
-    active = r.groupBy("doc_id").agg(F.array_sort(F.collect_set("model")).alias("active"))
+    # all but one copy of a report go before the shuffle
+    r = r.groupBy("doc_id", "model", "start", "end", "label", "text").agg(F.max("confidence").alias("confidence"))
     said = F.array_sort(F.collect_list(F.struct("model", "label", "confidence", "start", "end", "text")))
-    islands = _islands(r).groupBy("doc_id", "island").agg(said.alias("said")).join(active, "doc_id")
+    islands = _islands(r).repartition(lanes(df.sparkSession), "doc_id", "island").groupBy("doc_id", "island").agg(said.alias("said"), F.first("active").alias("active"))
     items = islands.select("doc_id", "active", F.explode(_split(F.col("said"))).alias("said"))
 
     def label(m: Column) -> Column:
@@ -124,7 +130,7 @@ def mentions(df: DataFrame) -> tuple[DataFrame, list[int]]:
         own = F.filter("said", lambda s: s["model"] == m)
         typed = F.transform(F.filter(own, lambda s: s["label"].isNotNull()), lambda s: F.struct(s["confidence"], s["label"]))
         surest = F.get(F.sort_array(typed, asc=False), F.lit(0))["label"].cast("string")
-        return F.coalesce(surest, F.when((F.size(own) == 0) & F.array_contains("active", m), "0"), F.lit("-"))
+        return F.coalesce(surest, F.when((F.size(own) == 0) & (F.substring(F.col("active"), m + 1, F.lit(1)) == "1"), "0"), F.lit("-"))
 
     spoken = F.transform(F.sequence(F.lit(0), F.lit(max(len(models) - 1, 0))), label)
     return items.select("doc_id", F.array_join(spoken, "").alias("pattern"), "said"), models
@@ -463,7 +469,7 @@ def consensus(df: DataFrame, wording: bool = True) -> tuple[DataFrame, list[tupl
     items, models = mentions(df)
     if not models:
         return df.sparkSession.createDataFrame([], "doc_id long, start_char int, end_char int, entity_type string, n_models int, agreement double, certainty double"), []
-    items = cut(items.repartition(lanes(df.sparkSession)))
+    items = cut(items)
     patterns = items.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     # every round is a pass over the patterns: a few tasks with much to do each
     patterns = cut(patterns.repartition(min(lanes(df.sparkSession), 1 + items.select("pattern").agg(F.approx_count_distinct("pattern")).first()[0] // PATTERNS_PER_TASK)))

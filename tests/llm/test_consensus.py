@@ -21,7 +21,7 @@ def test_every_disjoint_mention_of_a_chain_is_kept(spark):
 def test_islands_do_not_depend_on_stretches(spark, monkeypatch, stretch):
     monkeypatch.setattr(consensus, "STRETCH", stretch)
     r = np.random.default_rng(3)
-    spans = [(int(d), int(a), int(a + n)) for d, a, n in zip(r.integers(0, 3, 200), r.integers(0, 900, 200), r.integers(1, 20, 200))]
+    spans = [(int(d), int(a), int(a + n)) for d, a, n in zip(r.integers(0, 3, 200), r.integers(0, 150, 200), r.integers(1, 9, 200))]
     want = {}
     for d in range(3):
         reach, opened = -1, 0
@@ -29,7 +29,7 @@ def test_islands_do_not_depend_on_stretches(spark, monkeypatch, stretch):
             opened = a if a >= reach else opened
             reach = max(reach, b)
             want[d, a, b] = opened
-    got = {(x.doc_id, x.start, x.end): x.island for x in consensus._islands(spark.createDataFrame(spans, "doc_id long, start int, end int")).collect()}
+    got = {(x.doc_id, x.start, x.end): x.island for x in consensus._islands(spark.createDataFrame([(*x, 0) for x in spans], "doc_id long, start int, end int, model int")).collect()}
     assert got == want
 
 
