@@ -69,14 +69,18 @@ def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialises df in the checkpoint folder and cuts its lineage.
-
-    The folder is the cluster's spark.checkpoint.dir, shared by all executors, so the data outlives any of them.
-    Only where a session names none (local tests) is a folder of this machine used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. Only a local session that names none gets one of this machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises df in the shared folder and cuts its lineage, so the data outlives any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
