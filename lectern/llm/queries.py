@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import consensus, format_dups, names, packing, sentences, splitting, subjects, tokenize
-from lectern.session import cut, read_table
+from lectern.session import cut, read_table, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,7 +80,7 @@ def _split(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _split(spark, d).where("range_no = 0 AND no_in_range = 0").select("id", "model_id")
+    return _split(spark, d).where("piece_no = 0").select("id", "model_id")
 
 
 @query
@@ -86,6 +88,17 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.numbered(_split(spark, d))
 
 
+@query
+def p4_file_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The texts written out as files of many texts each, in the shared folder, and those files split by byte ranges: pieces and characters of each."""
+    texts = read_table(spark, d, "processed_texts").where("text IS NOT NULL").select("id", "text")
+    folder = f"{shared_folder(spark)}/p4-files-{uuid.uuid4().hex}"
+    texts.repartitionByRange(8, "id").sortWithinPartitions("id").select("text").write.option("lineSep", "\n\n").text(folder)
+    out = splitting.split_files(spark, [f"{folder}/*.txt"], limit=2000, overlap=100, range_bytes=1 << 20)
+    file_no = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
+    return out.groupBy(file_no.alias("file_no")).agg(F.count(F.lit(1)).alias("pieces"), F.max("end_char").alias("chars"), F.max(F.col("end_char") - F.col("start_char")).alias("longest"))
+
+
 ORACLES["p4_found"] = """
   SELECT DISTINCT t.id, m.model_id FROM processed_texts t JOIN model_catalog m ON t.domain = m.domain WHERE length(t.text) > m.max_sequence_length AND m.max_sequence_length > 0
 """

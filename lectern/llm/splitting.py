@@ -1,14 +1,14 @@
 """Splitting texts above a limit into overlapping pieces, cut at natural boundaries.
 
-Texts are worked on as ranges with halos. An edge between ranges moves to the first natural boundary behind it, which both neighbours
-find alike from the same window of characters, so each range cuts its own span on its own and no worker needs a whole text. For files,
-a first pass over byte ranges makes the boundary table (code points and first boundary of each range), prefix sums over it turn byte
-ranges into character offsets, and a second pass emits the pieces by offset.
+Whether a place is a boundary depends on CONTEXT characters before it and one behind it, so workers find the boundaries of ranges of a
+text, each with a halo of that size, and the table of all ranges is the same however the text is cut into ranges. One walk over that table
+in order, which never sees the text, sets the pieces; it holds no more of the table than one piece needs. Files are read as byte ranges:
+each range gives its number of code points and its boundaries, running sums of the numbers turn them into offsets, and pieces come out by
+offset.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,199 +16,248 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lectern.llm.sentences import units
+from lectern.llm.sentences import NEVER_LAST
+from lectern.session import lanes
 
-#: Characters of a range, and of the stretch behind an edge where a natural boundary is looked for.
+#: Characters of a range; it only decides how work is shared out, never where pieces are cut.
 RANGE_CHARS = 1 << 20
-HALO_CHARS = 1 << 13
-_BACK = 64
+#: Characters before a place that decide whether it is a boundary.
+CONTEXT = 128
+#: Models with a limit, above which the list is not sent to the workers but an error raised.
 MAX_MODELS = 10_000
 
-_EDGE = regex.compile(r"(?<=[\r\n  ])(?=\S)|(?<=[.!?…。！？।؟｡][\"”»’)\]」』]*\s+)(?=\S)|(?<=[。！？｡][”」』）]*)(?=[^”」』）。！？｡\s])")
-_WORD_EDGE = regex.compile(r"(?<=\s)(?=\S)")
-_MARK = regex.compile(r"[\p{M}‍️]")
+_CLOSERS = r"[\p{Pe}\p{Pf}\"'»]{0,8}"
+_PARAGRAPH = regex.compile(r"(?:\n| )[^\S\n ]{0,30}(?:\n| )\s{0,30}(?=\S)| \s{0,30}(?=\S)", regex.V1)
+_LINE = regex.compile(r"[\n\r\u0085 ]\s{0,60}(?=\S)", regex.V1)
+_SENTENCE = regex.compile(rf"[\p{{STerm}}.…]{_CLOSERS}\s{{1,40}}(?=\S)", regex.V1)
+_UNSPACED = regex.compile(rf"[。！？｡]{_CLOSERS}(?=[^\s\p{{Pe}}\p{{Pf}}。！？｡])", regex.V1)
+_WORD = regex.compile(r"(?<=\s)(?=\S)")
+_WORD_BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.]{1,24}$", regex.V1)
+_MARK = regex.compile(r"[\p{M}‍️]", regex.V1)
 
+#: Boundaries in order of preference, then the places before which nothing may be cut.
+KINDS = ("paragraphs", "sentences", "words", "marks")
+Table = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-def edge(window: str, back: int) -> int:
-    """Offset from position back of the first natural boundary at or behind it; of the first word start if there is none; else 0."""
-    for pattern in (_EDGE, _WORD_EDGE):
-        if m := pattern.search(window, back):
-            return m.start() - back
-    return 0
 
+def _abbreviated(text: str, at: int) -> bool:
+    """Whether the period at this place ends a single letter or an abbreviation after which sentences go on."""
+    word = _WORD_BEFORE.search(text, max(0, at - 24), at)
+    if text[at] != "." or not word:
+        return False
+    last = word[0].rsplit(".", 1)[-1]
+    return len(last) == 1 and last.isalpha() or word[0].lower() in NEVER_LAST
 
-def pieces(text: str, limit: int, overlap: int, start: int = 0, end: int | None = None, bounds: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Spans of at most limit characters that cover text[start:end], each sharing overlap characters with the one before.
+
+def boundaries(text: str, start: int = 0, end: int | None = None) -> Table:
+    """Where a new piece may begin in text[start:end], by kind, with the places of combining marks; what lies before start is context."""
+    end = len(text) if end is None else end
+    low = max(0, start - CONTEXT)
+    sentences = {m.end() for m in _LINE.finditer(text, low)}
+    sentences |= {m.end() for m in _UNSPACED.finditer(text, low)}
+    sentences |= {m.end() for m in _SENTENCE.finditer(text, low) if not text[m.end()].islower() and not _abbreviated(text, m.start())}
+    found = ({m.end() for m in _PARAGRAPH.finditer(text, low)}, sentences, {m.start() for m in _WORD.finditer(text, low)}, {m.start() for m in _MARK.finditer(text, start)})
+    tables = [np.array(sorted(f), "int64") for f in found]
+    return tuple(t[(t >= max(start, 1)) & (t < end)] for t in tables)
+
+
+class Walk:
+    """Pieces of at most limit characters, each sharing overlap with the one before, from the boundary tables of ranges in order.
 
     A piece ends at the last paragraph break of its second half, else the last sentence end there, else the last word end, else at the
-    limit (not before a combining mark). overlap counts for less than limit; a text within the limit is one piece.
+    limit (not before a combining mark). overlap counts for less than limit.
     """
-    end = len(text) if end is None else end
-    overlap = max(0, min(overlap, limit - 1))
-    kinds = bounds or boundaries(text)
-    out = []
-    s = start
-    while end - s > limit:
-        hi = s + limit
-        lo = s + max(overlap, limit // 2)
-        for kind in kinds:
-            i = int(np.searchsorted(kind, hi, side="right")) - 1
-            if i >= 0 and kind[i] > lo:
-                e = int(kind[i])
-                break
-        else:
-            e = hi
-            while e > s + overlap + 1 and _MARK.match(text[e]):
-                e -= 1
-            if e <= s + overlap + 1:
-                e = hi
-        out.append((s, e))
-        s = e - overlap
-    out.append((s, end))
-    return out
-
-
-def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where a new piece may begin: positions after paragraph breaks, after sentences, after white space."""
-    starts = [a for a, _ in units(text)][1:]
-    paragraphs = [a for a in starts if regex.search(r"\n\s*\n\s*$|\r\n\s*\r\n\s*$", text[max(0, a - 16) : a])]
-    words = [m.start() for m in _WORD_EDGE.finditer(text)]
-    return np.array(paragraphs, "int64"), np.array(starts, "int64"), np.array(words, "int64")
+
+    def __init__(self, limit: int, overlap: int) -> None:
+        self.limit, self.overlap, self.start = limit, max(0, min(overlap, limit - 1)), 0
+        self.known: list[np.ndarray] = [np.zeros(0, "int64")] * len(KINDS)
+
+    def feed(self, table: Table, upto: int, last: bool) -> list[tuple[int, int]]:
+        """The pieces that are certain once the boundaries before upto are known; upto is the length of the text when it is the last range."""
+        self.known = [np.concatenate([k[k > self.start], t]) for k, t in zip(self.known, table)]
+        out = []
+        while upto - self.start > self.limit:
+            end = self._end()
+            out.append((self.start, end))
+            self.start = end - self.overlap
+        if last and (upto > self.start or not out):
+            out.append((self.start, upto))
+        return out
+
+    def _end(self) -> int:
+        high = self.start + self.limit
+        low = self.start + max(self.overlap, self.limit // 2)
+        for kind in self.known[:3]:
+            i = int(np.searchsorted(kind, high, side="right")) - 1
+            if i >= 0 and kind[i] > low:
+                return int(kind[i])
+        marks, end, least = self.known[3], high, self.start + self.overlap + 1
+        i = int(np.searchsorted(marks, end, side="right")) - 1
+        while end > least and i >= 0 and marks[i] == end:
+            end, i = end - 1, i - 1
+        return end if end > least else high
+
+
+def pieces(text: str, limit: int, overlap: int, table: Table | None = None) -> list[tuple[int, int]]:
+    """The pieces of a whole text; one that keeps within the limit is one piece."""
+    return Walk(limit, overlap).feed(table or boundaries(text), len(text), True)
+
+
+# --- tables -------------------------------------------------------------------------------------------------------------------------
+
+_OUT = "id long, model_id string, piece_no int, start_char long, end_char long"
+_TYPES = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+_TABLE = ", ".join(f"{k} array<long>" for k in KINDS)
+
+
+def _batch(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
 def split_texts(df: DataFrame, models: DataFrame, key: str = "id", text: str = "text", domain: str = "domain", range_chars: int = RANGE_CHARS) -> DataFrame:
-    """(id, model_id, range_no, no_in_range, start_char, end_char): the pieces of each text for each model of its domain whose limit it exceeds.
+    """(id, model_id, piece_no, start_char, end_char): the pieces of each text for each model of its domain whose limit it exceeds.
 
-    Pieces lie in order of (range_no, no_in_range); texts of up to range_chars characters have range 0 only. Defined cases: null texts
-    and domains have no pieces; a model with a null or non-positive limit has none; a null overlap is 0; a repeated model counts once;
-    other columns are ignored. models is the catalog: at most MAX_MODELS rows, checked, and sent to all workers.
+    Texts of one range are cut where they are read. Of longer ones the ranges find their boundaries apart, and one task for each text walks
+    over their tables in order. Defined cases: null texts and domains have no pieces; a model with a null or non-positive limit has none; a
+    null overlap is 0; a repeated model counts once, with its smallest limit and overlap; rows that share an id are texts of their own only
+    while each is one range; other columns are ignored. models is the catalog: at most MAX_MODELS rows, checked, and sent to all workers.
     """
     spark = df.sparkSession
     m = models.where("max_sequence_length > 0 AND domain IS NOT NULL AND model_id IS NOT NULL").select("domain", "model_id", F.col("max_sequence_length").cast("int").alias("most"), F.coalesce(F.col("chunk_overlap").cast("int"), F.lit(0)).alias("share"))
-    rows = m.distinct().limit(MAX_MODELS + 1).collect()
+    rows = m.groupBy("domain", "model_id").agg(F.min(F.struct("most", "share")).alias("m")).select("domain", "model_id", "m.*").limit(MAX_MODELS + 1).collect()
     if len(rows) > MAX_MODELS:
         raise ValueError(f"more than {MAX_MODELS} models")
-    schema = "id long, model_id string, range_no int, no_in_range int, start_char long, end_char long"
     if not rows:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], _OUT)
     catalog: dict[str, list[tuple[str, int, int]]] = {}
-    for r in sorted(rows, key=lambda r: (r["domain"], r["model_id"], r["most"])):
+    for r in sorted(rows, key=lambda r: (r["domain"], r["model_id"])):
         catalog.setdefault(r["domain"], []).append((r["model_id"], r["most"], r["share"]))
-    least = {d: min(x[1] for x in v) for d, v in catalog.items()}
-    back = max(_BACK, max(min(x[1] - 1, x[2]) for v in catalog.values() for x in v))
+    names = [c.split()[0] for c in _OUT.split(", ")]
 
-    limit = F.coalesce(*(F.when(F.col("domain") == d, F.lit(v)) for d, v in least.items()))
-    t = df.select(F.col(key).cast("long").alias("id"), F.col(domain).alias("domain"), F.col(text).alias("text")).withColumn("n", F.char_length("text"))
-    t = t.where(F.col("n") > limit)
-    t = t.withColumn("range_no", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / range_chars).cast("int"))))
-    first = F.greatest(F.lit(0), F.col("range_no") * range_chars - back)
-    t = t.select("id", "domain", "n", "range_no", first.alias("at"), F.substring(F.col("text"), first + 1, F.lit(range_chars + back + HALO_CHARS)).alias("body"))
+    limit = F.coalesce(*(F.when(F.col("domain") == d, F.lit(min(x[1] for x in v))) for d, v in catalog.items()))
+    t = df.select(F.col(key).cast("long").alias("id"), F.col(domain).alias("domain"), F.col(text).alias("text")).withColumn("n", F.char_length("text")).where(F.col("n") > limit)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for r in b.to_pylist():
-                body, k, at, n = r["body"], r["range_no"], r["at"], r["n"]
-                lo = _anchor(body, at, k * range_chars) if k else 0
-                hi = _anchor(body, at, (k + 1) * range_chars) if (k + 1) * range_chars < n else n
-                bounds = boundaries(body)
-                for model, most, share in catalog[r["domain"]]:
-                    if n > most and hi > lo:
-                        start = max(0, lo - min(share, most - 1)) if k else 0
-                        out += [(r["id"], model, k, i, at + x, at + y) for i, (x, y) in enumerate(pieces(body, most, share, start - at, hi - at, bounds))]
-            columns = list(zip(*out)) if out else [()] * 6
-            types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types)], names=["id", "model_id", "range_no", "no_in_range", "start_char", "end_char"])
+            for i, d, body in zip(b.column("id").to_pylist(), b.column("domain").to_pylist(), b.column("text")):
+                body = body.as_py()
+                table = boundaries(body)
+                for model, most, share in catalog[d]:
+                    if len(body) > most:
+                        out += [(i, model, k, x, y) for k, (x, y) in enumerate(pieces(body, most, share, table))]
+            yield _batch(out, _TYPES, names)
 
-    return t.mapInArrow(run, schema)
+    short = t.where(F.col("n") <= range_chars).select("id", "domain", "text").mapInArrow(whole, _OUT)
 
+    first = F.greatest(F.lit(0), F.col("range_no") * range_chars - CONTEXT)
+    r = t.where(F.col("n") > range_chars).withColumn("range_no", F.explode(F.sequence(F.lit(0), ((F.col("n") - 1) / range_chars).cast("int"))))
+    r = r.select("id", "domain", "n", "range_no", first.alias("at"), F.substring(F.col("text"), first + 1, F.lit(range_chars + CONTEXT + 1)).alias("body"))
 
-def _anchor(body: str, at: int, position: int) -> int:
-    """Where the range that nominally begins at position really begins."""
-    p = position - at
-    window = body[p - _BACK : p + HALO_CHARS - _BACK]
-    return position + edge(window, _BACK)
+    def table_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row in b.to_pylist():
+                at, k, n = row["at"], row["range_no"], row["n"]
+                lo, hi = k * range_chars, min((k + 1) * range_chars, n)
+                out.append((row["id"], row["domain"], n, k, *(x + at for x in boundaries(row["body"], lo - at, hi - at))))
+            yield _batch(out, (pa.int64(), pa.string(), pa.int32(), pa.int32(), *[pa.list_(pa.int64())] * len(KINDS)), ["id", "domain", "n", "range_no", *KINDS])
+
+    tables = r.mapInArrow(table_of, "id long, domain string, n int, range_no int, " + _TABLE)
+    tables = tables.repartition(lanes(spark), "id").sortWithinPartitions("id", "range_no")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, walks, counts = None, {}, {}
+        for b in batches:
+            for j in range(b.num_rows):
+                row = b.slice(j, 1)
+                i, d, n, k = (row.column(c)[0].as_py() for c in ("id", "domain", "n", "range_no"))
+                if i != now:
+                    now, walks = i, {model: Walk(most, share) for model, most, share in catalog[d] if n > most}
+                    counts = dict.fromkeys(walks, 0)
+                table = tuple(row.column(c)[0].values.to_numpy(zero_copy_only=False) for c in KINDS)
+                upto = min((k + 1) * range_chars, n)
+                out = []
+                for model, w in walks.items():
+                    for x, y in w.feed(table, upto, upto == n):
+                        out.append((i, model, counts[model], x, y))
+                        counts[model] += 1
+                yield _batch(out, _TYPES, names)
+
+    return short.unionByName(tables.mapInArrow(walk, _OUT))
 
 
 def numbered(split: DataFrame) -> DataFrame:
-    """Pieces with one running piece_no for each text and model."""
-    w = Window.partitionBy("id", "model_id").orderBy("range_no", "no_in_range")
-    return split.select("id", "model_id", (F.row_number().over(w) - 1).alias("piece_no"), "start_char", "end_char")
+    """The pieces with their numbers, which the walk has given already."""
+    return split.select("id", "model_id", "piece_no", "start_char", "end_char")
 
 
 # --- files --------------------------------------------------------------------------------------------------------------------------
 
 
-def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int = 0, range_bytes: int = 8 << 20, halo_bytes: int = 1 << 16) -> DataFrame:
-    """(path, range_no, no_in_range, start_char, end_char) of the pieces of UTF-8 files on a file system that all workers share.
+def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int = 0, range_bytes: int = 8 << 20) -> DataFrame:
+    """(path, piece_no, start_char, end_char) of the pieces of UTF-8 files (files, folders or patterns) on storage that all workers share.
 
-    No worker reads more than a byte range and its halos. Ranges are aligned to whole code points and natural boundaries; the first pass
-    makes the boundary table, of one row for each range, and its prefix sums; the second cuts. Bytes that are no UTF-8 count as one
-    replacement character each. An empty file has no pieces.
+    No worker reads more than a byte range and its halos, and each byte is read once. Every range gives its number of code points and its
+    boundaries; one walk over the ranges' tables in order sums the numbers and emits the pieces by offset. Bytes that are no UTF-8 count as
+    replacement characters. An empty file has no pieces.
     """
-    share = max(0, min(overlap, limit - 1))
-    halo = max(halo_bytes, 8 * share)
-    ranges = [(p, k, k * range_bytes, min(range_bytes, os.path.getsize(p) - k * range_bytes)) for p in paths for k in range(-(-os.path.getsize(p) // range_bytes))]
-    if not ranges:
-        return spark.createDataFrame([], "path string, range_no int, no_in_range int, start_char long, end_char long")
-    table = spark.createDataFrame(ranges, "path string, range_no int, start long, size long").repartition(max(1, len(ranges)))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", F.col("length").alias("bytes")).where("bytes > 0")
+    ranges = files.withColumn("range_no", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("bytes") - 1) / range_bytes))))
+    # a range is much work and a row of a few bytes
+    ranges = ranges.repartition(lanes(spark), "path", "range_no")
+    halo = 4 * CONTEXT
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for r in b.to_pylist():
-                out.append((r["path"], r["range_no"], _file_anchor(r["path"], r["start"], halo_bytes)))
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "range_no", "anchor"), o)) for o in out], schema=pa.schema([("path", pa.string()), ("range_no", pa.int32()), ("anchor", pa.int64())]))
-
-    anchors = table.mapInArrow(scan, "path string, range_no int, anchor long")
-    w = Window.partitionBy("path").orderBy("range_no")
-    spans = anchors.withColumn("until", F.lead("anchor").over(w))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                start, end = r["range_no"] * range_bytes, min((r["range_no"] + 1) * range_bytes, r["bytes"])
+                low = max(0, start - halo)
+                data = _read(r["path"], low, min(end + 8, r["bytes"]))
+                lo, hi = _aligned(data, start - low), _aligned(data, end - low)
+                before = data[_aligned(data, 0) if low else 0 : lo].decode("utf-8", "replace")[-CONTEXT:]
+                own = data[lo:hi].decode("utf-8", "replace")
+                after = data[hi : hi + 4].decode("utf-8", "replace")[:1]
+                table = boundaries(before + own + after, len(before), len(before) + len(own))
+                out.append((r["path"], r["range_no"], end == r["bytes"], len(own), *(t - len(before) for t in table)))
+            yield _batch(out, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), *[pa.list_(pa.int64())] * len(KINDS)), ["path", "range_no", "last", "chars", *KINDS])
+
+    tables = ranges.mapInArrow(scan, "path string, range_no long, last boolean, chars long, " + _TABLE)
+    tables = tables.repartition(lanes(spark), "path").sortWithinPartitions("path", "range_no")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, w, base, n = None, Walk(limit, overlap), 0, 0
         for b in batches:
-            n = [len(_read(r["path"], r["anchor"], r["until"])) for r in b.to_pylist()]
-            yield b.append_column("chars", pa.array(n, pa.int64()))
-
-    counted = spans.mapInArrow(count, "path string, range_no int, anchor long, until long, chars long")
-    before = F.coalesce(F.sum("chars").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counted.withColumn("base", before)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                body = _read(r["path"], r["anchor"], r["until"])
-                lead = _read(r["path"], max(0, r["anchor"] - halo), r["anchor"])[-share:] if r["range_no"] and share else ""
-                if body:
-                    shift = r["base"] - len(lead)
-                    out += [(r["path"], r["range_no"], i, shift + x, shift + y) for i, (x, y) in enumerate(pieces(lead + body, limit, overlap))]
-            columns = list(zip(*out)) if out else [()] * 5
-            types = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, types)], names=["path", "range_no", "no_in_range", "start_char", "end_char"])
-
-    return placed.mapInArrow(emit, "path string, range_no int, no_in_range int, start_char long, end_char long")
+            for j in range(b.num_rows):
+                row = b.slice(j, 1)
+                path, last, chars = (row.column(c)[0].as_py() for c in ("path", "last", "chars"))
+                if path != now:
+                    now, w, base, n = path, Walk(limit, overlap), 0, 0
+                table = tuple(row.column(c)[0].values.to_numpy(zero_copy_only=False) + base for c in KINDS)
+                base += chars
+                found = w.feed(table, base, last)
+                yield _batch([(path, n + i, x, y) for i, (x, y) in enumerate(found)], (pa.string(), pa.int32(), pa.int64(), pa.int64()), ["path", "piece_no", "start_char", "end_char"])
+                n += len(found)
+
+    return tables.mapInArrow(walk, "path string, piece_no int, start_char long, end_char long")
+
+
+def _read(path: str, start: int, end: int) -> bytes:
+    """Bytes of a file on any storage that the workers can reach."""
+    from pyarrow import fs
+
+    storage, name = fs.FileSystem.from_uri(path)
+    with storage.open_input_file(name) as f:
+        f.seek(start)
+        return f.read(end - start)
 
 
-def _read(path: str, start: int, until: int | None) -> str:
-    with open(path, "rb") as f:
-        f.seek(start)
-        data = f.read() if until is None else f.read(until - start)
-    return data.decode("utf-8", "replace")
-
-
-def _file_anchor(path: str, start: int, halo: int) -> int:
-    """The byte where the range that nominally begins at start really begins: a natural boundary behind it, at a whole code point."""
-    if not start:
-        return 0
-    with open(path, "rb") as f:
-        f.seek(max(0, start - 4 * _BACK))
-        data = f.read(4 * _BACK + halo)
-    skip = min(start, 4 * _BACK)
-    while skip < len(data) and data[skip] & 0xC0 == 0x80:
-        skip += 1
-    context = data[:skip].decode("utf-8", "ignore")[-_BACK:]
-    window = context + data[skip:].decode("utf-8", "ignore")
-    moved = edge(window, len(context))
-    return start - min(start, 4 * _BACK) + skip + len(window[len(context) : len(context) + moved].encode())
+def _aligned(data: bytes, at: int) -> int:
+    """The first place at or behind at where a code point begins; three bytes on at most, for no code point is longer."""
+    end = min(at + 3, len(data))
+    while at < end and data[at] & 0xC0 == 0x80:
+        at += 1
+    return at

@@ -184,7 +184,7 @@ def test_pieces_end_at_boundaries_and_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text(s)
     (tmp_path / "b.txt").write_text("")
     rows = sorted(map(tuple, splitting.split_files(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")], 500, 30, range_bytes=20_000).collect()))
-    v = [r[3:] for r in rows]
+    v = [r[2:] for r in rows]
     assert v[0][0] == 0 and v[-1][1] == len(s) and all(b - a <= 500 for a, b in v) and all(x[1] - y[0] == 30 for x, y in zip(v, v[1:]))
 
 
