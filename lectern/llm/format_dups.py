@@ -1,10 +1,11 @@
 """Records equal but for outward form: white space, letter case, punctuation and the order of fields.
 
-Each text becomes a tuple of integers: a form or record as its sorted (field id, value id) pairs, running text as the 128-bit id of its
-canonical characters. Field names and values are dictionary-encoded: each distinct one is canonicalised once by a worker and then stands
-for its integer. Only the compact tuples are shuffled, after partial aggregation, so a group that holds a third of all rows arrives as
-one row from each task; the members find their group's first id by a join whose other side is one row for a group, which AQE splits if
-a group is hot.
+Each text is a sequence of forms, records and stretches of running text. Field names, values and stretches are dictionary-encoded in two
+steps. A worker keeps a dictionary of its own lot of rows: each distinct string is canonicalised once and gets the next number of the lot.
+The lots' dictionaries, not the rows, then meet: each distinct canonical value of all lots gets one integer, and each lot a table from its
+numbers to these integers. So a value that every record has costs one row for each lot. Records are rewritten lot by lot as tuples of
+integers, the fields of a record sorted, and the tuples themselves are grouped, after partial aggregation. The members find the first of
+their set by a join whose other side is one row for a set, which AQE splits if a set is hot.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.session import cut
 
-#: Distinct field names and values that a worker remembers before it starts afresh.
-DICTIONARY_SIZE = 1 << 17
+#: Distinct canonical values of a lot; a worker that meets more closes the lot and opens the next.
+LOT_VALUES = 1 << 18
 
 _FIELD = re.compile(r"\s*([^\W\d_][\w \xa0 \t]{0,39}?)\s*[:=]\s*(?!//|[\"“”„«»「『‘'])(.*?)\s*", re.S)
 _SEPARATORS = ("|", ";")
@@ -46,24 +48,32 @@ def canonical(text: str) -> str:
     return text.casefold().translate(_kept)
 
 
-class Dictionary:
-    """Integer ids of strings by their canonical form; the id is a hash, so that all workers give the same one."""
+class Lot:
+    """Numbers of strings by their canonical form, from 0; canonical values are kept as 128-bit digests."""
 
     def __init__(self) -> None:
         import xxhash
 
-        self._hash = xxhash.xxh3_64_intdigest
-        self.hash128 = xxhash.xxh3_128_digest
-        self._ids: dict[str, int] = {}
+        self._digest = xxhash.xxh3_128_digest
+        self._of_string: dict[str, int] = {}
+        self._of_digest: dict[bytes, int] = {}
 
-    def id(self, value: str) -> int:
-        i = self._ids.get(value)
+    def number(self, value: str) -> int:
+        i = self._of_string.get(value)
         if i is None:
-            if len(self._ids) >= DICTIONARY_SIZE:
-                self._ids.clear()
-            i = self._ids[value] = self._hash(canonical(value))
+            i = self._of_digest.setdefault(self._digest(canonical(value)), len(self._of_digest))
+            # long strings rarely come twice
+            if len(value) <= 64:
+                self._of_string[value] = i
         return i
 
+    def __len__(self) -> int:
+        return len(self._of_digest)
+
+    def digests(self) -> np.ndarray:
+        """Both halves of the digests, in the order of the numbers."""
+        return np.frombuffer(b"".join(self._of_digest), "<i8").reshape(-1, 2)
+
 
 def _pairs(value: object, path: str = "") -> Iterator[tuple[str, str]]:
     """Fields of a JSON value with their paths. Positions in arrays are part of the path, for the order there counts."""
@@ -136,47 +146,92 @@ def blocks(text: str) -> Iterator[list[tuple[str, str]] | str]:
         yield "\n".join(prose)
 
 
-def record_key(text: str, d: Dictionary) -> bytes:
-    """128 bits that are the same for texts equal but for outward form."""
-    parts: list[bytes] = []
+#: Marks in a record's numbers: a stretch of text follows, or so many pairs of name and value.
+TEXT, RECORD = -1, -2
+
+
+def record_numbers(text: str, lot: Lot) -> list[int]:
+    """The text in the lot's numbers: TEXT and a number, or RECORD, the number of fields and each field's name and value."""
+    out: list[int] = []
     for b in blocks(text):
         if isinstance(b, str):
-            parts.append(b"t" + d.hash128(canonical(b)))
+            out += (TEXT, lot.number(b))
         else:
-            pairs = sorted((d.id(k), d.id(v)) for k, v in b)
-            parts.append(b"r" + np.array(pairs, "uint64").tobytes())
-    return d.hash128(b"".join(parts)) if len(parts) != 1 or parts[0][:1] == b"r" else parts[0][1:]
+            out += (RECORD, len(b), *(lot.number(x) for pair in b for x in pair))
+    return out
+
+
+def _translated(numbers: list[int], ids: np.ndarray) -> list[int]:
+    """A record in integers that stand for the same values in all lots, the fields of each form sorted."""
+    out: list[int] = []
+    i = 0
+    while i < len(numbers):
+        if numbers[i] == TEXT:
+            out += (TEXT, int(ids[numbers[i + 1]]))
+            i += 2
+        else:
+            n = numbers[i + 1]
+            pairs = ids[numbers[i + 2 : i + 2 + 2 * n]].reshape(-1, 2).tolist()
+            out += (RECORD, n, *(x for p in sorted(pairs) for x in p))
+            i += 2 + 2 * n
+    return out
+
 
+def record_tuples(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, tuple) of each row with a text that is neither null nor blank."""
 
-def record_keys(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, k1, k2) of each row with a text that is neither null nor blank."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, lots, lot = TaskContext.get().partitionId(), 0, Lot()
+        names = ["lot", "id", "numbers", "high", "low"]
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+
+        def row(ids: list, numbers: list, high: list, low: list) -> pa.RecordBatch:
+            n = len(numbers)
+            columns = ([(task << 24) + lots] * n, ids, numbers, high, low)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = Dictionary()
         for b in batches:
-            ids, keys = [], []
+            ids, numbers = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
                 t = t.as_py()
                 if t and not t.isspace():
                     ids.append(i)
-                    keys.append(record_key(t, d))
-            k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=["id", "k1", "k2"])
-
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(run, "id long, k1 long, k2 long")
+                    numbers.append(record_numbers(t, lot))
+            yield row(ids, numbers, [None] * len(ids), [None] * len(ids))
+            if len(lot) >= LOT_VALUES:
+                d = lot.digests()
+                yield row([None], [None], [d[:, 0]], [d[:, 1]])
+                lots, lot = lots + 1, Lot()
+        if len(lot):
+            d = lot.digests()
+            yield row([None], [None], [d[:, 0]], [d[:, 1]])
+
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    coded = cut(rows.mapInArrow(encode, "lot long, id long, numbers array<int>, high array<long>, low array<long>"))
+    values = coded.where("high IS NOT NULL").select("lot", F.posexplode(F.arrays_zip("high", "low")).alias("number", "v")).select("lot", "number", "v.high", "v.low")
+    # one integer for each distinct value; the cut keeps it, for these integers depend on where a row happens to lie
+    table = cut(values.select("high", "low").distinct().withColumn("value_id", F.monotonically_increasing_id()))
+    of_lot = values.join(table, ["high", "low"]).groupBy("lot").agg(F.sort_array(F.collect_list(F.struct("number", "value_id"))).alias("v")).select(F.col("lot").alias("of_lot"), F.col("v.value_id").alias("ids"))
+
+    def rewrite(records: pa.Table, ids: pa.Table) -> pa.Table:
+        table = ids.column("ids").combine_chunks().values.to_numpy(zero_copy_only=False) if ids.num_rows else np.zeros(0, "int64")
+        tuples = [_translated(n, table) for n in records.column("numbers").to_pylist()]
+        return pa.table({"id": records.column("id"), "tuple": pa.array(tuples, pa.list_(pa.int64()))})
+
+    return coded.where("numbers IS NOT NULL").select("lot", "id", "numbers").groupBy("lot").cogroup(of_lot.groupBy("of_lot")).applyInArrow(rewrite, "id long, tuple array<long>")
 
 
 def groups(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """One row for each set of copies, single records included: k1, k2, id_first (smallest id), n_copies (rows in the set).
+    """One row for each set of copies, single records included: tuple, id_first (smallest id), n_copies (rows in the set).
 
     Null and blank texts belong to no set; texts of punctuation only are equal to each other; rows with a null id count, but are never
     first unless the set has no other; an empty table gives no rows; other columns are ignored.
     """
-    return record_keys(df, key, text).groupBy("k1", "k2").agg(F.min("id").alias("id_first"), F.count(F.lit(1)).alias("n_copies"))
+    return record_tuples(df, key, text).groupBy("tuple").agg(F.min("id").alias("id_first"), F.count(F.lit(1)).alias("n_copies"))
 
 
 def copies(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """(id_first, id_copy) for each row that is not the first of its set, as groups() defines the sets."""
-    keys = cut(record_keys(df, key, text))
-    sets = keys.groupBy("k1", "k2").agg(F.min("id").alias("id_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return keys.join(sets, ["k1", "k2"]).where("id <> id_first").select("id_first", F.col("id").alias("id_copy"))
+    tuples = cut(record_tuples(df, key, text))
+    sets = tuples.groupBy("tuple").agg(F.min("id").alias("id_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return tuples.join(sets, "tuple").where("id <> id_first").select("id_first", F.col("id").alias("id_copy"))
