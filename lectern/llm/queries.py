@@ -155,17 +155,18 @@ def _name_rows(spark: SparkSession, d: str) -> DataFrame:
     return cache.unionByName(read_table(spark, d, "enriched_entities").select(F.lit("enriched_entities").alias("src"), F.col("id").alias("row_id"), F.col("text").alias("spelling")))
 
 
-def _resolved(spark: SparkSession, d: str) -> DataFrame:
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
     records = read_table(spark, d, "kb_entities").where("entity_type IN ('PERSON', 'ORG')").select("entity_id", "text", "synonyms")
-    return names.resolve(_name_rows(spark, d).select("spelling"), records)
+    return names.clusters(_name_rows(spark, d).select("spelling"), records)
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _name_rows(spark, d).join(_resolved(spark, d).select("spelling", "entity_id"), "spelling").select("src", "row_id", "entity_id")
+    meant = _clusters(spark, d).where("entity_id IS NOT NULL").select("spelling", "entity_id")
+    return _name_rows(spark, d).join(meant, "spelling").select("src", "row_id", "entity_id")
 
 
 @query
 def p1_spellings(spark: SparkSession, d: str) -> DataFrame:
-    """The clusters of spellings: each spelling with its component, the record it means and the score."""
-    return _resolved(spark, d).select("component", "entity_id", "spelling", F.round("score", 6).alias("score"))
+    """The clusters of spellings: each spelling with its component, the record it means, if any, and the score."""
+    return _clusters(spark, d).select("component", "entity_id", "spelling", F.round("score", 6).alias("score"))
