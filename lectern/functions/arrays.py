@@ -35,7 +35,7 @@ def scan(items: Column, state: Column, kind: str, step: Callable[[Column, Column
 
     def blocked(all_: Column) -> Column:
         starts = F.when(F.size(all_) > 0, F.sequence(F.lit(1), F.size(all_), F.lit(block))).otherwise(F.expr("cast(array() as array<int>)"))
-        return F.aggregate(starts, F.struct(state.alias("s"), nothing.alias("o")), lambda acc, at: outer(acc, at, all_), lambda acc: F.flatten(acc["o"]))
+        return F.when(all_.isNotNull(), F.aggregate(starts, F.struct(state.alias("s"), nothing.alias("o")), lambda acc, at: outer(acc, at, all_), lambda acc: F.flatten(acc["o"])))
 
     return let(items, blocked)
 

@@ -10,6 +10,8 @@ from lectern.operators.patterns import Rule, candidates, resolved, spans
 
 SENTENCE = r"[^.!?。！？।؟\n]*[.!?。！？।؟]+|[^.!?。！？।؟\n]+"
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\p{Z}\p{C}]"
+#: What this annotator can give.
+CAPABILITIES = frozenset(("entities", "sentences", "tokens", "pos_tags", "lemmas"))
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "were", "with")
 
 

@@ -60,12 +60,51 @@ def query(catalog: DataFrame, provider: str | None = None, domain: str | None =
     return d.where(F.size(F.array_except(F.array(*map(F.lit, types)), "entity_types")) == 0) if types else d
 
 
+MODEL_TYPE = "catalog_ord int, model_id string, provider string, domain string, performance struct<f1_score:double,latency_ms:double>, entity_types array<string>, trusted boolean, size_mb double, source_url string, requires_kb array<string>"
+
+
 def known_models(spark) -> DataFrame:
     """The built-in catalog."""
-    rows = [(i, m, p, d, {"f1_score": f, "latency_ms": lat}, t, True, 100.0, f"https://github.com/explosion/{m}") for i, (m, p, d, f, lat, t) in enumerate(fixed.MODELS)]
-    return spark.createDataFrame(rows, "catalog_ord int, model_id string, provider string, domain string, performance struct<f1_score:double,latency_ms:double>, entity_types array<string>, trusted boolean, size_mb double, source_url string")
+    rows = [(i, m, p, d, {"f1_score": f, "latency_ms": lat}, t, True, fixed.MODEL_SIZES[i], fixed.MODEL_SOURCES[i], fixed.MODEL_KBS.get(m, [])) for i, (m, p, d, f, lat, t) in enumerate(fixed.MODELS)]
+    return spark.createDataFrame(rows, MODEL_TYPE)
 
 
 def by_type(catalog: DataFrame) -> DataFrame:
     """The catalog's index by entity type."""
     return catalog.select(F.explode("entity_types").alias("entity_type"), "model_id")
+
+
+def short_id(model_id: Column) -> Column:
+    """A model's name without the prefix of its family."""
+    out = model_id
+    for prefix in ("spacy/", "scispacy/"):
+        out = F.replace(out, F.lit(prefix), F.lit(""))
+    return out
+
+
+def discovered(listings: DataFrame) -> DataFrame:
+    """Models of all providers' listings that are to be trusted. A provider whose listing fails has an empty one."""
+    return listings.where(trusted(listings))
+
+
+def merged(catalog: DataFrame, found: DataFrame) -> DataFrame:
+    """catalog with the models found that it does not have; of a model found twice the first in order. Columns are those of the catalog."""
+    new = found.groupBy("model_id").agg(F.min_by(F.struct(*[c for c in catalog.columns if c != "model_id"]), "catalog_ord").alias("m")).select("model_id", "m.*")
+    return catalog.unionByName(new.join(catalog.select("model_id"), "model_id", "left_anti").select(*catalog.columns))
+
+
+def without(catalog: DataFrame, provider: str) -> DataFrame:
+    """The catalog after a provider has been taken out."""
+    return catalog.where(~F.coalesce(F.col("provider") == provider, F.lit(False)))
+
+
+def from_hub(hub: DataFrame, known: DataFrame, domain: str, most: int = 10, popular: int = 1000) -> DataFrame:
+    """Models of a hub (model_id, tags, downloads, description) for a domain that are not known: the most loaded of each of the domain's tags.
+
+    Their accuracy is an estimate; trusted are those loaded often enough.
+    """
+    tags = fixed.HUB_TAGS.get(domain, [domain])
+    each = hub.select("model_id", "downloads", "description", F.explode("tags").alias("tag")).where(F.col("tag").isin(tags))
+    top = each.withColumn("k", F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("downloads"), "model_id"))).where(F.col("k") <= most)
+    one = top.groupBy("model_id").agg(F.max("downloads").alias("downloads"), F.max("description").alias("description")).join(known.select("model_id"), "model_id", "left_anti")
+    return one.select("model_id", F.lit(domain).alias("domain"), F.lit(0.80).alias("f1_score"), F.lit(100.0).alias("latency_ms"), (F.col("downloads") > popular).alias("trusted"), F.coalesce("description", F.lit("")).alias("description"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
@@ -43,6 +43,21 @@ def rules_of(domain: str, custom: list[Rule] | None = None) -> list[Rule]:
     return sorted(ordered, key=lambda r: PRIORITY.get(r.priority, 1))
 
 
+def without_rule(rules: list[Rule], name: str) -> list[Rule]:
+    """The rules but the one of that name; the same rules if there is none."""
+    return [r for r in rules if r.name != name]
+
+
+def rule_info(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """(name, entity_type, priority, case_insensitive, has_validation) of the rules, in the order in which they are considered."""
+    rows = [(i, r.name, r.type, r.priority, r.ignore_case, r.validation is not None) for i, r in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule_ord int, name string, entity_type string, priority string, case_insensitive boolean, has_validation boolean")
+
+
+def supported_types(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    return rule_info(spark, rules).select("entity_type").distinct()
+
+
 #: Marks put around matches; where a text has such characters itself, others of their kind stand for them during the search.
 _OPEN, _SHUT, _OWN = "\ufdd0", "\ufdd1", "\ufdd2\ufdd3"
 _SPAN = "struct<start:int,end:int,text:string>"

@@ -46,11 +46,27 @@ def degraded(df: DataFrame, key: str, order: list[str], value: str, last: int =
     return d.withColumn("degraded", (F.col("n") >= least) & (F.col("recent") > F.col("avg") * factor))
 
 
-def last_rows(df: DataFrame, key: str, order: list[str], most: int = 1000) -> DataFrame:
-    """The last rows of each group."""
-    d = numbered(df, key, order, [])
-    size = d.groupBy(key).agg(F.max("n").alias("_size"))
-    return d.join(size, key).where(F.col("n") > F.col("_size") - most).drop("n", "_size")
+def last_rows(df: DataFrame, key: str, order: list[str], most: int = 1000, lots: int = 64) -> DataFrame:
+    """The last rows of each group; nulls of the order come first. Of each lot of a group at most so many go on to be compared with the others."""
+    lot = F.pmod(F.xxhash64(*order), F.lit(lots))
+    last = [F.desc_nulls_last(c) for c in order]
+    d = df.withColumn("_lot", lot)
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy(key, "_lot").orderBy(*last))).where(F.col("_k") <= most)
+    return d.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*last))).where(F.col("_k") <= most).drop("_lot", "_k")
+
+
+def recent_mean(df: DataFrame, key: str, order: list[str], value: str, most: int = 1000) -> DataFrame:
+    """(key, mean) over the last rows of each group, nulls left out; 0 where there is none."""
+    return last_rows(df, key, order, most).groupBy(key).agg(F.coalesce(F.avg(value), F.lit(0.0)).alias("mean"))
+
+
+def gauge(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """(at, active): how many of spans are open after each moment at which one begins or ends; one without an end stays open, one without a
+    start never was."""
+    s = spans.where(F.col(start).isNotNull())
+    moves = s.select(F.col(start).alias("at"), F.lit(1.0).alias("step")).unionByName(s.where(F.col(end).isNotNull()).select(F.greatest(start, end).alias("at"), F.lit(-1.0).alias("step")))
+    per = moves.groupBy("at").agg(F.sum("step").alias("step")).withColumn("all", F.lit(1))
+    return numbered(per, "all", ["at"], ["step"]).select("at", F.col("sum_step").cast("long").alias("active"))
 
 
 class Breaker:

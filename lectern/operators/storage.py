@@ -67,6 +67,12 @@ def expired_tasks(tasks: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return tasks.where(F.col("status").isin(*FINAL) & (F.col("completed_at") < as_of - F.expr(f"INTERVAL {days} DAYS")))
 
 
+def bounded_registry(tasks: DataFrame, as_of: Column, most: int = 1000, hours: int = 24) -> DataFrame:
+    """tasks, without those made more than so many hours ago if there are more than so many in all."""
+    n = tasks.agg(F.count(F.lit(1)).alias("_n"))
+    return tasks.crossJoin(F.broadcast(n)).where(~F.coalesce((F.col("_n") > most) & (F.col("created_at") < as_of - F.expr(f"INTERVAL {hours} HOURS")), F.lit(False))).drop("_n")
+
+
 def kept(df: DataFrame, condition: Column) -> DataFrame:
     """A delete: the rows for which the condition is not true."""
     return df.where(~F.coalesce(condition, F.lit(False)))

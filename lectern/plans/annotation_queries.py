@@ -273,10 +273,10 @@ def tei_mixed(s: SparkSession, d: str) -> DataFrame:
 
 
 # the structure that a conversion needs: sentences with texts, whose tokens are an array where there are any; entities with text and label
-_STORED = (
+STORED_SQL = (
     "WITH j1 AS (SELECT id, text, TRY_CAST(nlp_results AS JSON) AS j FROM processed_texts WHERE json_valid(nlp_results)), j2 AS (SELECT id, " + json_sql.obj("j") + " AS o FROM j1), j3 AS (SELECT id, o, " + json_sql.obj("n") + " AS i FROM (SELECT id, o, json_extract(o, '$.nlp_results') AS n FROM j2)),"
     " v AS (SELECT id, coalesce(i, o) AS d FROM j3), s AS (SELECT id, " + json_sql.opened("a") + " AS ss, " + json_sql.opened("b") + " AS es, " + json_sql.opened("c") + " AS ds FROM (SELECT id, json_extract(d, '$.sentences') AS a, json_extract(d, '$.entities') AS b, json_extract(d, '$.dependencies') AS c FROM v)),"
-    " ok AS (SELECT id, ds, ss FROM s WHERE json_type(ss) = 'ARRAY' AND json_type(es) = 'ARRAY'"
+    " ok AS (SELECT id, ds, ss, es FROM s WHERE json_type(ss) = 'ARRAY' AND json_type(es) = 'ARRAY'"
     " AND len(list_filter(CAST(ss AS JSON[]), lambda x: (json_type(x) = 'OBJECT' AND json_type(x, '$.text') <> 'NULL' AND coalesce(json_type(x, '$.tokens') IN ('ARRAY', 'NULL'), true)) IS NOT TRUE)) = 0"
     " AND len(list_filter(CAST(es AS JSON[]), lambda x: (json_type(x) = 'OBJECT' AND json_type(x, '$.text') <> 'NULL' AND json_type(x, '$.label') <> 'NULL') IS NOT TRUE)) = 0)"
 )
@@ -290,7 +290,7 @@ def _stored(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _STORED + ", k AS (SELECT ok.id, CAST(len(CAST(ss AS JSON[])) AS BIGINT) AS sentences, CASE WHEN json_type(ds) = 'ARRAY' AND t.domain IN ('literary', 'linguistic') THEN len(CAST(ds AS JSON[])) ELSE 0 END AS links, t.domain FROM ok JOIN processed_texts t ON t.id = ok.id)"
+    STORED_SQL + ", k AS (SELECT ok.id, CAST(len(CAST(ss AS JSON[])) AS BIGINT) AS sentences, CASE WHEN json_type(ds) = 'ARRAY' AND t.domain IN ('literary', 'linguistic') THEN len(CAST(ds AS JSON[])) ELSE 0 END AS links, t.domain FROM ok JOIN processed_texts t ON t.id = ok.id)"
     " SELECT t.id, k.id IS NOT NULL AS valid, coalesce(CASE WHEN k.domain IN ('legal', 'historical', 'literary', 'linguistic') THEN k.sentences ELSE 0 END, 0) AS milestones, CAST(coalesce(k.links, 0) AS BIGINT) AS links FROM processed_texts t LEFT JOIN k ON k.id = t.id"
 )
 def tei_stored(s: SparkSession, d: str) -> DataFrame:
@@ -300,7 +300,7 @@ def tei_stored(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    _STORED
+    STORED_SQL
     + " SELECT id, '<?xml version=\"1.0\" encoding=\"UTF-8\"?>' || chr(10) || '<TEI xmlns=\"http://www.tei-c.org/ns/1.0\"><teiHeader><fileDesc><titleStmt><title>Processing Error</title></titleStmt></fileDesc></teiHeader><text><body><p>' || "
     + _BAD.format("coalesce(text, '')")
     + " || '</p><note>Invalid NLP results structure</note></body></text></TEI>' AS xml FROM processed_texts WHERE id NOT IN (SELECT id FROM ok)"

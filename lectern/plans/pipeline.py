@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -16,14 +17,32 @@ from lectern.operators.patterns import Rule, extract, rules_of
 Annotator = Callable[[DataFrame], DataFrame]
 
 
-def model_annotator(load: Callable[[], Callable[[str], list[tuple[str, str, int, int, float]]]]) -> Annotator:
-    """An annotator from a model: load is called once for each task and gives a function from text to (text, type, start, end, confidence)."""
+Model = Callable[[list[str]], list[list[tuple[str, str, int, int, float]]]]
+_loaded: dict[str, Model] = {}
+
+
+def model_annotator(load: Callable[[], Callable], batched: bool = False, name: str | None = None) -> Annotator:
+    """An annotator from a model, which load gives: a function from text to (text, type, start, end, confidence), or, if batched, from a list
+    of texts to a list of such lists.
+
+    A worker process loads the model once and keeps it under its name for later tasks; without a name it is kept for this annotator only. A
+    batch that the model fails on gives no entities: it has run and found nothing. Null and empty texts are not shown to it.
+    """
+    key = name or uuid.uuid4().hex
 
     def annotate(docs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            model = load()
+            from lectern.plans import pipeline
+
+            model = pipeline._loaded.get(key) or pipeline._loaded.setdefault(key, load())
             for b in batches:
-                rows = [(d, i, *e) for d, t in zip(b["doc_id"], b["text"]) for i, e in enumerate(model(t) if t else [])]
+                b = b[b["text"].notna() & (b["text"] != "")]
+                texts = b["text"].tolist()
+                try:
+                    found = model(texts) if batched else [model(t) for t in texts]
+                except Exception:  # noqa: BLE001 - a model may fail in any way
+                    found = [[] for _ in texts]
+                rows = [(d, i, *e) for d, said in zip(b["doc_id"], found) for i, e in enumerate(said)]
                 yield pd.DataFrame(rows, columns=["doc_id", "ent_ord", "text", "type", "start", "end", "confidence"])
 
         return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ent_ord int, text string, type string, start int, end int, confidence double")
@@ -41,6 +60,7 @@ class Pipeline:
     kb: DataFrame | None = None
     chain: DataFrame | None = None
     use_patterns: bool = True
+    use_kb: bool = True
     strategy: str | None = None
 
     @property
@@ -88,17 +108,33 @@ class Pipeline:
             merged = ensemble.merge(said, self.strategy or self.settings["ensemble_strategy"], self.ran(docs)) if len(self.annotators) > 1 else said
             parts.append(merged.select(*ensemble.KEYS, "type", "text", "confidence").withColumn("source", F.lit("model")))
         if self.use_patterns:
-            domain = self.domain if self.domain in ("medical", "legal", "financial") else "general"
-            found = extract(docs.where("text IS NOT NULL"), rules_of(domain, self.rules), "doc_id", "text")
+            found = extract(docs.where("text IS NOT NULL"), rules_of(self._rule_domain, self.rules), "doc_id", "text")
             parts.append(found.select("doc_id", "start", "end", F.col("entity_type").alias("type"), "text", "confidence", F.lit("rules").alias("source")))
         if not parts:
             return docs.sparkSession.createDataFrame([], "doc_id long, start int, end int, type string, text string, confidence double, source string")
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    def statistics(self) -> dict:
+        """What the pipeline is made of."""
+        return {
+            "domain": self.domain,
+            "active_models": len(self.annotators),
+            "model_ids": list(self.annotators),
+            "model_weights": [w for _, w in self.annotators.values()],
+            "ensemble_strategy": self.strategy or self.settings["ensemble_strategy"],
+            "pattern_matching_enabled": self.use_patterns,
+            "kb_enrichment_enabled": self.kb is not None and self.chain is not None and self.use_kb,
+            "pattern_count": len(rules_of(self._rule_domain, self.rules)),
+        }
+
+    @property
+    def _rule_domain(self) -> str:
+        return self.domain if self.domain in ("medical", "legal", "financial") else "general"
+
     def entities(self, docs: DataFrame) -> DataFrame:
         """(doc_id, start, end, type, text, confidence, source, found_kb, found_id) of docs (doc_id, text)."""
         out = self.found(docs)
-        if self.kb is None or self.chain is None:
+        if self.kb is None or self.chain is None or not self.use_kb:
             return out.withColumn("found_kb", F.lit(None).cast("string")).withColumn("found_id", F.lit(None).cast("string"))
         return knowledge.lookup(out, self.kb, self.chain)
 

@@ -266,10 +266,25 @@ def provider_health(s: SparkSession, d: str) -> DataFrame:
     return knowledge.latest(h, ["provider"], ["ts", "id"]).select("provider", "status")
 
 
-@query("SELECT id, CAST(sum(CASE WHEN status IN ('pending', 'processing') THEN 1 ELSE 0 END) OVER (ORDER BY created_at, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS active FROM background_tasks WHERE created_at IS NOT NULL")
+@query(
+    "WITH m AS (SELECT created_at AS \"at\", 1 AS step FROM background_tasks WHERE created_at IS NOT NULL UNION ALL SELECT greatest(created_at, completed_at), -1 FROM background_tasks WHERE created_at IS NOT NULL AND completed_at IS NOT NULL AND status IN ('completed', 'failed', 'cancelled')),"
+    " g AS (SELECT \"at\", sum(step) AS step FROM m GROUP BY \"at\") SELECT \"at\", CAST(sum(step) OVER (ORDER BY \"at\") AS BIGINT) AS active FROM g"
+)
 def active_gauge(s: SparkSession, d: str) -> DataFrame:
-    t = _tasks(s, d).where("created_at IS NOT NULL").select("id", "created_at", F.lit(1).alias("all"), F.col("status").isin("pending", "processing").cast("double").alias("open"))
-    return state.numbered(t, "all", ["created_at", "id"], ["open"]).select("id", F.col("sum_open").cast("long").alias("active"))
+    """Tasks at work after each moment at which one begins or comes to its end."""
+    ended = F.when(F.col("status").isin(*storage.FINAL), F.col("completed_at"))
+    return state.gauge(_tasks(s, d).select("created_at", ended.alias("ended_at")), "created_at", "ended_at").select("at", "active")
+
+
+@query("SELECT domain, coalesce(round(avg(processing_time), 8), 0.0) AS mean FROM (SELECT domain, processing_time, row_number() OVER (PARTITION BY domain ORDER BY created_at DESC, id DESC) AS k FROM processed_texts WHERE domain IS NOT NULL AND created_at IS NOT NULL) WHERE k <= 1000 GROUP BY domain")
+def latency_recent(s: SparkSession, d: str) -> DataFrame:
+    t = _texts(s, d).where("domain IS NOT NULL AND created_at IS NOT NULL").select("id", "domain", "created_at", "processing_time")
+    return state.recent_mean(t, "domain", ["created_at", "id"], "processing_time").select("domain", F.round("mean", 8).alias("mean"))
+
+
+@query(f"SELECT id FROM background_tasks WHERE NOT coalesce((SELECT count(*) FROM background_tasks) > 1000 AND created_at < TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR, false)")
+def task_registry(s: SparkSession, d: str) -> DataFrame:
+    return storage.bounded_registry(_tasks(s, d), _as_of()).select("id")
 
 
 @query("SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, min(id) AS first_id FROM audit_log WHERE ts IS NOT NULL GROUP BY 1")

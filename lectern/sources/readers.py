@@ -3,13 +3,44 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, fields
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+@dataclass(frozen=True)
+class Settings:
+    """Settings of a run, from the environment where it names them."""
+
+    environment: str = "development"
+    database_url: str = "sqlite:///lectern.db"
+    secret_key: str = ""
+    nlp_provider: str = "spacy"
+    max_text_length: int = 100_000
+    cache_ttl: int = 3600
+    request_timeout: int = 300
+
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str], prefix: str = "LECTERN_") -> Settings:
+        """Values of other types than text are converted; one that cannot be is left at its default."""
+        out = {}
+        for f in fields(cls):
+            raw = env.get(prefix + f.name.upper())
+            if raw is not None:
+                try:
+                    out[f.name] = type(f.default)(raw)
+                except ValueError:
+                    continue
+        return cls(**out)
+
+    def get(self, name: str, default: object = None) -> object:
+        return getattr(self, name, default)
+
+
 TEXT_ENDINGS = (".txt", ".text", ".md", ".markdown")
 MAX_UPLOAD_BYTES = 102_400
 
@@ -63,25 +94,38 @@ def jdbc_table(spark: SparkSession, url: str, table: str, key: str | None = None
     return r.load()
 
 
-def service(df: DataFrame, text: str, make_client: Callable[[], Callable[[str], str]], attempts: int = 3) -> DataFrame:
-    """df with column result: what a text service says of each text. A client is made once for each partition; null after the last attempt."""
+def transient(error: Exception) -> bool:
+    """Whether a call that failed so is worth another try: no connection, a timeout, or an answer that the service is overloaded."""
+    return isinstance(error, (ConnectionError, TimeoutError)) or getattr(error, "status", getattr(error, "code", None)) == 503
+
+
+def service(df: DataFrame, text: str, make_client: Callable[[], Callable[[str], str]], attempts: int = 3, base_seconds: float = 1.0) -> DataFrame:
+    """df with columns result, what a text service says of each text, and problem, the error of a text that it failed on (result is null then).
+
+    A client is made once for each partition. Only transient failures are tried again, after 1, 2, 4 and so on times base_seconds.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = make_client()
 
-        def ask(t: str | None) -> str | None:
-            for _ in range(attempts):
+        def ask(t: str | None) -> tuple[str | None, str | None]:
+            if t is None:
+                return None, None
+            for k in range(attempts):
                 try:
-                    return None if t is None else client(t)
-                except Exception:  # noqa: BLE001 - a service may fail in any way
-                    continue
-            return None
+                    return client(t), None
+                except Exception as e:  # noqa: BLE001 - told in the column problem
+                    if not transient(e) or k + 1 == attempts:
+                        return None, f"{type(e).__name__}: {e}"
+                    time.sleep(base_seconds * 2**k)
+            return None, None
 
         for b in batches:
-            yield b.assign(result=[ask(t) for t in b[text]])
+            said = [ask(t) for t in b[text]]
+            yield b.assign(result=[r for r, _ in said], problem=[p for _, p in said])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, fields + ", result string")
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInPandas(run, columns + ", result string, problem string")
 
 
 def healthy(spark: SparkSession) -> bool:

@@ -35,6 +35,21 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> Dat
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("v")).select(*keys, "v.*")
 
 
+def kept_until(rows: DataFrame, at: Column, ttl_seconds: int) -> DataFrame:
+    """rows (key, value) as a cache keeps them: with the time at which they expire."""
+    return rows.select("key", "value", (at + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))
+
+
+def living(rows: DataFrame, at: Column) -> DataFrame:
+    """Rows of a cache that have not expired; of a key written several times the one that expires last."""
+    return rows.where(F.col("expires_at") > at).groupBy("key").agg(F.max_by("value", F.struct("expires_at", "value")).alias("value"), F.max("expires_at").alias("expires_at"))
+
+
+def with_ids(df: DataFrame, last_id: int = 0) -> DataFrame:
+    """df with ids above the last one that is taken, by which the rows inserted are known: unique, not without gaps."""
+    return df.withColumn("id", F.monotonically_increasing_id() + F.lit(last_id + 1))
+
+
 def without_keys(df: DataFrame, column: str, pattern: str) -> DataFrame:
     """A delete by pattern: rows whose key has the pattern, its stars left out, in it."""
     return df.where(~F.coalesce(F.col(column).contains(pattern.replace("*", "")), F.lit(False)))
@@ -51,8 +66,14 @@ def swap(spark: SparkSession, view: str, path: str) -> None:
 
 
 def xml_files(docs: DataFrame, path: str, key: str = "id", xml: str = "tei") -> None:
-    """One folder for each document with its XML."""
-    docs.select(F.col(key).alias("id"), F.col(xml).alias("value")).write.mode("overwrite").partitionBy("id").text(path)
+    """JSON lines of key and XML, in as many files as the table has partitions: a document each would be too many to list."""
+    docs.select(F.col(key).alias("id"), F.col(xml).alias("tei")).write.mode("overwrite").json(path)
+
+
+def xml_of(spark: SparkSession, path: str, key: str) -> str | None:
+    """The XML of one document from xml_files, for download; null if there is none."""
+    row = spark.read.schema("id string, tei string").json(path).where(F.col("id") == key).first()
+    return row.tei if row else None
 
 
 def exposition(metrics: DataFrame) -> DataFrame:

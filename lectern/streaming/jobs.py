@@ -67,12 +67,44 @@ def stale_tasks(changes: DataFrame, hours: int = 24, late: str = "1 hour") -> Da
     return changes.withWatermark("at", late).groupBy("task_id").applyInPandasWithState(run, out, "first long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sync(source: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps the latest version of each key of a stream of records in a table of versions: each batch appends its own latest rows."""
+def sync(source: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, status_path: str | None = None) -> StreamingQuery:
+    """Keeps the latest version of each key of a stream of records in the table at path, under a new name for each version of the table.
+
+    Each batch is merged with the version before it into path/version=n, so the table holds each key once; versions before the last two go,
+    as no reader needs them. status_path gets a row for each batch: version, rows, ok, and the latest order seen. A batch that is delivered
+    again after a failure writes the same version anew.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         rest = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("v")).select(*keys, "v.*")
-        latest.write.mode("append").parquet(path)
+        before = [v for v in versions(spark, path) if v < number]
+        both = spark.read.schema(batch.schema).parquet(f"{path}/version={before[-1]}").unionByName(batch) if before else batch
+        both.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("v")).select(*keys, "v.*").write.mode("overwrite").parquet(f"{path}/version={number}")
+        if status_path:
+            batch.agg(F.lit(number).alias("version"), F.count(F.lit(1)).alias("rows"), F.lit(True).alias("ok"), F.max(order).alias("last_success")).write.mode("overwrite").parquet(f"{status_path}/version={number}")
+        for v in before[:-1]:
+            _folder(spark, f"{path}/version={v}", remove=True)
 
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark: SparkSession, path: str, remove: bool = False) -> list[str]:
+    """Names in a folder of any storage; with remove, none after the folder is gone."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if remove:
+        fs.delete(p, True)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Finished versions of a table that sync keeps, in order."""
+    names = [n for n in _folder(spark, path) if n.startswith("version=")]
+    return sorted(int(n.split("=")[1]) for n in names if "_SUCCESS" in _folder(spark, f"{path}/{n}"))
+
+
+def synced(spark: SparkSession, path: str) -> DataFrame:
+    """The last finished version of a table that sync keeps."""
+    return spark.read.parquet(f"{path}/version={versions(spark, path)[-1]}")

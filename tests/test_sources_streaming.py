@@ -38,14 +38,17 @@ def test_service_retries(spark):
 
         def ask(t):
             seen.append(t)
-            if t == "never" or len(seen) == 1:
+            if len(seen) == 1:
+                raise ConnectionError("down")
+            if t == "never":
                 raise ValueError(t)
             return t.upper()
 
         return ask
 
-    rows = readers.service(spark.createDataFrame([("a",), ("never",), (None,)], "t string").coalesce(1), "t", make).collect()
-    assert [r.result for r in rows] == ["A", None, None]
+    rows = readers.service(spark.createDataFrame([("a",), ("never",), (None,)], "t string").coalesce(1), "t", make, base_seconds=0.01).collect()
+    # a lost connection is tried again, an error of the request is not
+    assert [(r.result, r.problem) for r in rows] == [("A", None), (None, "ValueError: never"), (None, None)]
 
 
 def test_sinks(spark, tmp_path):
@@ -79,7 +82,14 @@ def test_streaming_sync(spark, tmp_path):
     spark.createDataFrame([("k", 1, "a"), ("k", 3, "c"), ("l", 2, "b")], "key string, seq int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
     q = jobs.sync(jobs.stream_of(spark, str(tmp_path / "in"), "key string, seq int, v string"), str(tmp_path / "out"), str(tmp_path / "c"), ["key"], "seq")
     q.awaitTermination(120)
-    assert sorted((r.key, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("k", "c"), ("l", "b")]
+    assert sorted((r.key, r.v) for r in jobs.synced(spark, str(tmp_path / "out")).collect()) == [("k", "c"), ("l", "b")]
+    for k in (2, 4):
+        spark.createDataFrame([("k", k, f"new{k}")], "key string, seq int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = jobs.sync(jobs.stream_of(spark, str(tmp_path / "in"), "key string, seq int, v string"), str(tmp_path / "out"), str(tmp_path / "c"), ["key"], "seq", str(tmp_path / "status"))
+        q.awaitTermination(120)
+    assert sorted((r.key, r.v) for r in jobs.synced(spark, str(tmp_path / "out")).collect()) == [("k", "new4"), ("l", "b")]
+    assert len(jobs.versions(spark, str(tmp_path / "out"))) == 2
+    assert sorted((r.rows, r.last_success) for r in spark.read.parquet(str(tmp_path / "status")).collect()) == [(1, 2), (1, 4)]
 
 
 def test_pipeline(spark):
