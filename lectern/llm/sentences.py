@@ -7,6 +7,7 @@ brackets, line breaks that only wrap, lines that are a unit by themselves, and s
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Abbreviations after which a sentence goes on, whatever follows (lower case, without the last period).
 NEVER_LAST = frozenset(
@@ -33,24 +35,29 @@ NEVER_LAST = frozenset(
 # Words shortened in names of organisations: a sentence ends there only before a word that opens sentences.
 NAME_PARTS = frozenset("univ hosp assoc assn soc found fdn inst lab dept ctr cncl med fin sys chem publ appl bot hist nutr res transp eng intl nat natl tech sci dev mgmt stud agric phys opt acad vet ins".split())
 STARTERS = frozenset(
-    "the a an it he she we you they i our his her its this that these those there see did does do what who when where how why no not all version wait costs prices ref mail rain"
-    " das der die ein eine man und niemand um wo beleg il elle le la les une personne est voir el los las una qué dónde según".split()
+    "the a an it he she we you they i our his her its this that these those there here did does do what who when where how why no not all if as but and so then now yet one some any"
+    " das der die ein eine es er sie wir man und wo wer was wie il elle on nous vous le la les un une est ce où qui el los las una uno qué quién cómo dónde".split()
 )
 # Abbreviations that end a sentence if what follows can begin one.
 MAYBE_LAST = frozenset("a.m p.m etc inc ltd co corp jr sr s.a bros dep usw usf руб коп т.д т.п др ст ทบ น esq plc llc gmbh".split())
 SUFFIXES = frozenset("limited incorporated inc ltd co corp s.a bros gmbh plc llc".split())
 # Words that do not begin a sentence after an abbreviation.
 GOES_ON = frozenset(
-    "and or but are is was were of for in on by to from with paid"
-    " und oder zahlte hat ist liegt"
-    " et ou en a est sont de du y e o u cerró por con que la"
-    " и получило или но".split()
+    "and or but are is was were has have of for in on by to from with"
+    " und oder aber hat ist sind liegt war"
+    " et ou en a est sont de du y e o u por con que la"
+    " и или но".split()
 )
 # Words after which a number with a period is an ordinal.
 ORDINAL_BEFORE = frozenset("der die das den dem des am im vom zum zur beim ab bis seit".split())
-# Thai words that open a sentence, and words that want something after them.
-THAI_OPENS = tuple("คุณ เรือ ตัวอย่าง รหัส ยา แฟ้ม ใบ ฝน ไม่มี เขา เธอ ฉัน ผม เรา นาย นาง ท่าน วันนี้ พรุ่งนี้ ทำไม ใคร ราคา เอกสาร ผู้ โรงพยาบาล แพทย์ การ".split())
-THAI_WANTS = tuple("คุณ จาก ยา ที่ ไป รหัส เวลา ขนาด ตัวอย่าง เงิน ใบเสร็จ กับ ของ โดย ถึง ให้ เป็น คือ และ หรือ ใน จำนวน ประมาณ ราคา นาย นาง ดร.".split())
+# Thai words that begin sentences in any text: pronouns and titles. Others are counted.
+THAI_OPENS = tuple("คุณ เขา เธอ ฉัน ผม เรา นาย นาง ท่าน".split())
+# Words of measure, prepositions and titles, which want a word after them.
+THAI_WANTS = tuple("คุณ นาย นาง นางสาว ดร. ที่ ไป จาก กับ ของ โดย ถึง ให้ เป็น คือ และ หรือ ใน บน ต่อ เวลา ขนาด จำนวน ประมาณ หมายเลข อายุ ราคา เงิน วันที่".split())
+#: Share of the certain beginnings of Thai sentences that start alike from which on such a start counts as one, and least number of them.
+OPENS_SHARE, OPENS_LEAST, OPENS_CHARS = 0.004, 4, 3
+#: Characters of Thai without a space that may be a single word; more are a clause.
+SHORT_WORD = 8
 THAI_JOINS = tuple("และ หรือ แต่ ที่ ซึ่ง เพราะ ๆ โดย".split())
 
 # Evidence of wrapped lines from which on single line breaks of a text are white space.
@@ -76,7 +83,7 @@ _TOKENS = regex.compile(r"\S+")
 _ONE_LINE_RECORD = regex.compile(r"\s*(?:\{.*\}|\[.*\]|[^|=:]{1,40}[=:][^|]*(?:\|[^|=:]{1,40}[=:][^|]*)+)\s*", regex.S)
 
 
-def units(text: str) -> list[tuple[int, int]]:
+def units(text: str, openers: tuple[str, ...] = THAI_OPENS) -> list[tuple[int, int]]:
     """Half-open code-point spans of the sentence units of a text: they cover all of it but white space."""
     out: list[tuple[int, int]] = []
     if not text or text.isspace():
@@ -88,7 +95,7 @@ def units(text: str) -> list[tuple[int, int]]:
         if whole:
             out.append(_stripped(text, a, b))
         else:
-            out += _sentences(text, a, b)
+            out += _sentences(text, a, b, openers)
     return out
 
 
@@ -179,7 +186,7 @@ def _titled(line: str, following: str) -> bool:
 # --- sentences ----------------------------------------------------------------------------------------------------------------------
 
 
-def _sentences(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+def _sentences(text: str, lo: int, hi: int, openers: tuple[str, ...]) -> Iterator[tuple[int, int]]:
     seg = text[lo:hi]
     cuts: list[int] = []
     begin = _SPACES.match(seg).end()
@@ -223,14 +230,14 @@ def _sentences(text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         after = _SPACES.match(seg, pos).end()
         if after >= n:
             break
-        if _breaks(seg, i, m.end(), pos, after, begin, mixed):
+        if _breaks(seg, i, m.end(), pos, after, begin, mixed, openers):
             cuts.append(pos)
             begin = after
     for a, b in zip([0, *cuts], [*cuts, n]):
         a, b = _stripped(seg, a, b)
         if a < b:
             if _THAI.search(seg, a, b):
-                yield from ((lo + x, lo + y) for x, y in _thai(seg, a, b))
+                yield from ((lo + x, lo + y) for x, y in _thai(seg, a, b, openers))
             else:
                 yield lo + a, lo + b
 
@@ -254,11 +261,35 @@ def _attributed(seg: str, at: int) -> bool:
     return seg[at] in "とっ" or seg.startswith(("って", "라고"), at)
 
 
-def _breaks(seg: str, i: int, end: int, pos: int, after: int, begin: int, mixed: bool) -> bool:
+def _may_break(seg: str, i: int, end: int, pos: int, after: int) -> bool:
+    """The default sentence-break rules by character properties, for terminators seg[i:end], closers up to pos and spaces up to after.
+
+    No break before a mark that continues a sentence or another terminator, save dots that open one; none within a number or between
+    capitals. The rule for small letters after a full stop is applied below, to abbreviations, initials and numbers only: people also begin
+    sentences with small letters, and a word that is none of these ends a sentence before them too.
+    """
+    opens = after > pos and (seg.startswith("...", after) or seg[after] == "…")
+    if _CONTINUES.match(seg, after) and not opens:
+        return False
+    if any(_STERM.match(c) for c in seg[i:end]) or pos > end or after > pos:
+        return True
+    return not (_NUMERIC.match(seg, after) or i and _CASED.match(seg[i - 1]) and _UPPER.match(seg, after))
+
+
+_CONTINUES = regex.compile(r"[\p{SB=SContinue}\p{SB=STerm}\p{SB=ATerm}--\p{Pd}]", regex.V1)
+_STERM = regex.compile(r"\p{SB=STerm}")
+_NUMERIC = regex.compile(r"\p{SB=Numeric}")
+_UPPER = regex.compile(r"\p{SB=Upper}")
+_CASED = regex.compile(r"[\p{SB=Upper}\p{SB=Lower}]", regex.V1)
+
+
+def _breaks(seg: str, i: int, end: int, pos: int, after: int, begin: int, mixed: bool, openers: tuple[str, ...]) -> bool:
+    if not _may_break(seg, i, end, pos, after):
+        return False
     mark = seg[i:end]
     spaced = after > pos
     nxt = seg[after]
-    if regex.match(r"[,;:，、；：؛،\p{Pe}]", nxt):
+    if regex.match(r"[;，、；：؛،\p{Pe}]", nxt):
         return False
     strong = any(c not in ".…．" for c in mark)
     if strong and nxt in "—–" and seg[begin] in "—–«»\"“„":
@@ -305,7 +336,7 @@ def _breaks(seg: str, i: int, end: int, pos: int, after: int, begin: int, mixed:
         return not nxt.isdigit()
     if w in MAYBE_LAST or len(parts) > 1 and len(parts[-1]) <= 2 and w not in NEVER_LAST:
         if _THAI.match(nxt):
-            return seg.startswith(THAI_OPENS, after)
+            return seg.startswith(openers, after)
         if w in SUFFIXES:
             word_after = _NEXT_WORD.match(seg, after)
             if nxt.isalpha() and not _caseful(nxt) or word_after and word_after[0].lower() in SUFFIXES:
@@ -369,20 +400,26 @@ def _enumerates(seg: str, i: int, w: str, begin: int) -> bool:
 # --- a script that ends sentences with a space ------------------------------------------------------------------------------------------
 
 
-def _thai(seg: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+def _thai(seg: str, a: int, b: int, openers: tuple[str, ...]) -> Iterator[tuple[int, int]]:
     tokens = [(m.start(), m.end()) for m in _TOKENS.finditer(seg, a, b)]
-    start = tokens[0][0]
+    words = [seg[x:y] for x, y in tokens]
+    first = 0
     quoted = False
-    for (xa, xb), (ya, yb) in zip(tokens, tokens[1:]):
-        x, y = seg[xa:xb], seg[ya:yb]
+    for k in range(len(tokens) - 1):
+        x = words[k]
         quoted = (quoted or any(c in x for c in "“「«")) and not any(c in x for c in "”」»")
-        if not quoted and _thai_break(x, y):
-            yield start, xb
-            start = ya
-    yield start, tokens[-1][1]
+        if not quoted and _thai_break(x, words[k + 1], k == first, openers):
+            yield tokens[first][0], tokens[k][1]
+            first = k + 1
+    yield tokens[first][0], tokens[-1][1]
 
 
-def _thai_break(x: str, y: str) -> bool:
+def _thai_break(x: str, y: str, alone: bool, openers: tuple[str, ...]) -> bool:
+    """Whether a sentence ends between two words; alone says that it has no other word than x yet.
+
+    A space between two Thai words ends it. Words of other scripts and numbers stand in spaces of their own: after one a sentence ends only
+    before a word that opens sentences, and before one only if what was said so far is more than a word and wants nothing after it.
+    """
     thai_x, thai_y = bool(_THAI.match(x[-1])) or bool(_THAI.search(x)) and x[-1] == ".", bool(_THAI.match(y[0]))
     if x[-1] in "”\"»」" or not any(c.isalnum() for c in y):
         return False
@@ -391,14 +428,27 @@ def _thai_break(x: str, y: str) -> bool:
     if thai_x and thai_y:
         if x[-1] == ".":
             return x == "น."
-        return not y.startswith(THAI_JOINS) and not (x in THAI_WANTS)
+        return not y.startswith(THAI_JOINS) and x not in THAI_WANTS
     if thai_y:
-        return y.startswith(THAI_OPENS)
+        return y.startswith(openers)
     if thai_x:
-        return x == "น." or x[-1] != "." and not x.endswith(THAI_WANTS)
+        return x == "น." or x[-1] != "." and not (alone and len(x) <= SHORT_WORD) and not x.endswith(THAI_WANTS) and not y[0].isdigit()
     return False
 
 
+def thai_starts(text: str) -> list[str]:
+    """How the certain Thai sentences of a text begin: those at its start or the start of a line, or after a space between Thai words."""
+    if not _THAI.search(text):
+        return []
+    out = []
+    for m in _LINES.finditer(text):
+        words = m[0].split()
+        for k, w in enumerate(words):
+            if _THAI.match(w[0]) and (k == 0 or _THAI.match(words[k - 1][-1]) and words[k - 1] not in THAI_WANTS and not w.startswith(THAI_JOINS)):
+                out.append(w[:OPENS_CHARS])
+    return out
+
+
 # --- tables -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -406,14 +456,18 @@ def sentence_units(df: DataFrame, key: str = "id", text: str = "text") -> DataFr
     """(id, unit_no, start_char, end_char) of every sentence unit of every row, over whole texts and without a shuffle.
 
     Defined cases: null and blank texts have no units; a text without any terminator is one unit (a line each where lines stand alone);
-    very long runs without spaces are one unit; offsets count code points; other columns are ignored.
+    very long runs without spaces are one unit; offsets count code points; other columns are ignored. Thai texts are read twice: their
+    sentences have no marks, so how they begin is counted over all of them first.
     """
 
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    openers = thai_openers(rows, "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lengths, spans = b.column(0), [], []
             for t in b.column(1):
-                u = units(t.as_py() or "")
+                u = units(t.as_py() or "", openers)
                 lengths.append(len(u))
                 spans += u
             n = np.array(lengths, "int64")
@@ -422,4 +476,20 @@ def sentence_units(df: DataFrame, key: str = "id", text: str = "text") -> DataFr
             first = np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else n
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array((np.arange(len(s)) - first[of]).astype("int32")), pa.array(s[:, 0].copy()), pa.array(s[:, 1].copy())], names=["id", "unit_no", "start_char", "end_char"])
 
-    return df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL").mapInArrow(run, "id long, unit_no int, start_char int, end_char int")
+    return rows.mapInArrow(run, "id long, unit_no int, start_char int, end_char int")
+
+
+def thai_openers(df: DataFrame, text: str) -> tuple[str, ...]:
+    """Beginnings of Thai sentences: those of any text, and those that are common at the certain beginnings in all texts of df.
+
+    Counted in the tasks; the driver gets beginnings of a few characters that reach a fixed share, so at most 1 / OPENS_SHARE of them.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = Counter(x for t in b.column(0) for x in thai_starts(t.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["start", "n"])
+
+    starts = df.select(F.col(text)).where(F.col(text).rlike(r"\p{IsThai}")).mapInArrow(count, "start string, n long").groupBy("start").agg(F.sum("n").alias("n"))
+    share = starts.select("start", "n", F.sum("n").over(Window.partitionBy()).alias("all")).where((F.col("n") >= OPENS_LEAST) & (F.col("n") >= OPENS_SHARE * F.col("all")))
+    return THAI_OPENS + tuple(sorted(r["start"] for r in share.select("start").collect()))
