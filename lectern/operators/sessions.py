@@ -15,7 +15,7 @@ def sessionize(
     gap_seconds: int = 1800,
     bucket_seconds: int = 21600,
 ) -> DataFrame:
-    """One row for each session: user_id, session_no, start_ts, end_ts, duration_s, n_events, first_id, last_id.
+    """One row for each session: user_id, session_key, start_ts, end_ts, duration_s, n_events, first_id, last_id.
 
     Lagged time per user flags the gaps, the running sum of the flags numbers the sessions, an aggregate closes them. It runs in two
     levels, so that no task ever holds all events of one user: first within (user, bucket of time), where the events are; then per user

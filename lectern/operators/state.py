@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern.session import cut
+
 CHUNK = 100_000
 
 
@@ -91,24 +94,115 @@ class Breaker:
         return True, self.state
 
 
-def breaker(calls: DataFrame, service: str = "service", ts: str = "ts", seq: str = "seq", ok: str = "ok", threshold: int = 5, timeout_seconds: float = 60.0) -> DataFrame:
-    """calls (service, ts, seq, ok) with allowed and state after each.
+class _Tail:
+    """Where an automaton that enters a stretch of calls comes out, for every state it may enter in.
+
+    States are numbers of failures while closed, and threshold for open, with the time at which it opened. It is worked out from the last
+    call to the first: what an open automaton does depends only on the first call that comes late enough to be its trial.
+    """
 
-    The state depends on every call before, so a service's calls pass through one task, in order, one at a time: nothing is collected.
+    def __init__(self, at: np.ndarray, ok: np.ndarray, threshold: int, timeout: float) -> None:
+        m = len(at)
+        self.threshold, self.timeout, self.at = threshold, timeout, at
+        closed = [(f, 0.0) for f in range(threshold)]
+        trial: list[tuple[int, float]] = [(0, 0.0)] * m
+        for j in range(m - 1, -1, -1):
+            after_ok = closed[0]
+            k = self._trial(float(at[j]), j)
+            opened = (threshold, float(at[j])) if k == m else trial[k]
+            if ok[j]:
+                trial[j], closed = after_ok, [after_ok] * threshold
+            else:
+                trial[j], closed = opened, [*closed[1:], opened]
+        self.closed, self.trials = closed, trial
+
+    def _trial(self, opened: float, j: int = -1) -> int:
+        k = int(np.searchsorted(self.at, opened + self.timeout))
+        # by the very comparison that the automaton makes
+        while k < len(self.at) and self.at[k] - opened < self.timeout:
+            k += 1
+        while k - 1 > j and self.at[k - 1] - opened >= self.timeout:
+            k -= 1
+        return k
+
+    def runs(self) -> tuple[list[float], list[int], list[float]]:
+        """The last time of each run of trials that come out alike, and where they come out."""
+        last = [j for j in range(len(self.trials)) if j + 1 == len(self.trials) or self.trials[j] != self.trials[j + 1]]
+        return [float(self.at[j]) for j in last], [self.trials[j][0] for j in last], [self.trials[j][1] for j in last]
+
+
+def breaker(calls: DataFrame, service: str = "service", ts: str = "ts", seq: str = "seq", ok: str = "ok", threshold: int = 5, timeout_seconds: float = 60.0, chunk: int = CHUNK) -> DataFrame:
+    """calls (service, ts, seq, ok) with allowed and state after each. Calls without service, time or outcome are left out.
+
+    The state depends on every call before, but a stretch of calls only on the state it begins in. So stretches of a service find, apart
+    from each other, where every state comes out; one pass over one row for each stretch gives the states they begin in; then the stretches
+    are gone through, again apart. No task sees more than a stretch of a service's calls.
     """
-    d = calls.select(F.col(service).cast("string").alias("service"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"), F.col(seq).cast("long").alias("seq"), F.col(ok).cast("boolean").alias("ok"))
-    d = d.where("service IS NOT NULL AND at IS NOT NULL AND ok IS NOT NULL").repartition("service").sortWithinPartitions("service", "at", "seq")
+    d = calls.select(F.col(service).cast("string").alias("service"), F.col(ts).cast("timestamp").alias("ts"), F.col(seq).cast("long").alias("seq"), F.col(ok).cast("boolean").alias("ok"))
+    d = d.where("service IS NOT NULL AND ts IS NOT NULL AND ok IS NOT NULL")
+    n = numbered(d, "service", ["ts", "seq"], []).select("service", F.floor((F.col("n") - 1) / chunk).alias("chunk"), "n", (F.unix_micros("ts") / 1e6).alias("at"), "seq", "ok")
+    n = cut(n)
+    keys = ["service", "chunk"]
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Rows of each stretch, whole, as they come in order."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = np.array(b.column("service").to_pylist(), dtype=object)
+            chunks = b.column("chunk").to_numpy()
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (chunks[1:] != chunks[:-1])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(starts, starts[1:]):
+                part = b.slice(lo, hi - lo)
+                if held and (held[-1].column("service")[0], held[-1].column("chunk")[0]) != (part.column("service")[0], part.column("chunk")[0]):
+                    yield pa.Table.from_batches(held).combine_chunks()
+                    held = []
+                held.append(part)
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def outcomes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in stretches(batches):
+            tail = _Tail(t.column("at").to_numpy(), t.column("ok").to_numpy(zero_copy_only=False), threshold, timeout_seconds)
+            ends, kinds, times = tail.runs()
+            row = {"service": t.column("service")[0].as_py(), "chunk": t.column("chunk")[0].as_py(), "closed": [c[0] for c in tail.closed], "closed_at": [c[1] for c in tail.closed], "ends": ends, "kinds": kinds, "times": times}
+            yield pa.RecordBatch.from_pylist([row], schema=pa.schema([("service", pa.string()), ("chunk", pa.int64()), ("closed", pa.list_(pa.int32())), ("closed_at", pa.list_(pa.float64())), ("ends", pa.list_(pa.float64())), ("kinds", pa.list_(pa.int32())), ("times", pa.list_(pa.float64()))]))
+
+    table = n.repartition(*keys).sortWithinPartitions(*keys, "n").mapInArrow(outcomes, "service string, chunk long, closed array<int>, closed_at array<double>, ends array<double>, kinds array<int>, times array<double>")
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, (0, 0.0)
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["service"] != now:
+                    now, state = r["service"], (0, 0.0)
+                out.append((r["service"], r["chunk"], *state))
+                if state[0] < threshold:
+                    state = (r["closed"][state[0]], r["closed_at"][state[0]])
+                else:
+                    # the run of the first call that is late enough
+                    k = int(np.searchsorted(r["ends"], state[1] + timeout_seconds))
+                    while k < len(r["ends"]) and r["ends"][k] - state[1] < timeout_seconds:
+                        k += 1
+                    state = (r["kinds"][k], r["times"][k]) if k < len(r["ends"]) else state
+            columns = list(zip(*out)) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.float64()))], names=["service", "chunk", "entry", "entry_at"])
+
+    begins = table.repartition("service").sortWithinPartitions(*keys).mapInArrow(entries, "service string, chunk long, entry int, entry_at double")
+    begins = begins.select(F.col("service").alias("_s"), F.col("chunk").alias("_c"), "entry", "entry_at")
+    placed = n.join(begins, (F.col("service") == F.col("_s")) & (F.col("chunk") == F.col("_c"))).drop("_s", "_c").repartition(*keys).sortWithinPartitions(*keys, "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, b = None, Breaker(threshold, timeout_seconds)
-        for batch in batches:
-            allowed, state = [], []
-            for s, at, ok in zip(batch.column("service").to_pylist(), batch.column("at").to_pylist(), batch.column("ok").to_pylist()):
-                if s != name:
-                    name, b = s, Breaker(threshold, timeout_seconds)
-                a, st = b.call(at, ok)
-                allowed.append(a)
-                state.append(st)
-            yield pa.RecordBatch.from_arrays([batch.column("service"), batch.column("seq"), batch.column("ok"), pa.array(allowed, pa.bool_()), pa.array(state, pa.string())], names=["service", "seq", "ok", "allowed", "state"])
-
-    return d.mapInArrow(run, "service string, seq long, ok boolean, allowed boolean, state string")
+        for t in stretches(batches):
+            b, entry = Breaker(threshold, timeout_seconds), t.column("entry")[0].as_py()
+            if entry < threshold:
+                b.failures = entry
+            else:
+                b.state, b.failures, b.opened = "open", threshold, t.column("entry_at")[0].as_py()
+            done = [b.call(at, good) for at, good in zip(t.column("at").to_pylist(), t.column("ok").to_pylist())]
+            columns = [t.column(c).combine_chunks() for c in ("service", "seq", "ok")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([a for a, _ in done], pa.bool_()), pa.array([x for _, x in done], pa.string())], names=["service", "seq", "ok", "allowed", "state"])
+
+    return placed.mapInArrow(run, "service string, seq long, ok boolean, allowed boolean, state string")

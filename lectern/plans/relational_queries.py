@@ -254,9 +254,21 @@ def bounded_history(s: SparkSession, d: str) -> DataFrame:
     return state.last_rows(t, "domain", ["created_at", "id"]).select("id", "domain")
 
 
-@query()
+_OFF = "(acc.st = 1 AND x.a - acc.o < 60.0)"
+_TRIPS = "(NOT x.ok AND (acc.st = 1 OR acc.f + 1 >= 5))"
+_NEXT = f"CASE WHEN {_OFF} THEN 1 WHEN x.ok THEN 0 WHEN {_TRIPS} THEN 1 ELSE 0 END"
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT coalesce(resource_type, 'service') AS service, ts, id, status_code < 500 AS ok FROM audit_log WHERE ts IS NOT NULL AND status_code IS NOT NULL AND id IS NOT NULL),"
+    " l AS (SELECT service, list({'st': 0, 'f': 0, 'o': 0.0::DOUBLE, 'a': epoch_us(ts) / 1e6, 'ok': ok, 'n0': 0, 'n1': 0, 'n2': 0} ORDER BY ts, id) AS l FROM c GROUP BY service),"
+    " r AS (SELECT service, list_reduce(list_prepend({'st': 0, 'f': 0, 'o': 0.0::DOUBLE, 'a': 0.0::DOUBLE, 'ok': true, 'n0': 0, 'n1': 0, 'n2': 0}, l), lambda acc, x: {"
+    f"'st': {_NEXT}, 'f': CASE WHEN {_OFF} THEN acc.f WHEN x.ok THEN 0 ELSE acc.f + 1 END, 'o': CASE WHEN NOT {_OFF} AND {_TRIPS} THEN x.a ELSE acc.o END, 'a': x.a, 'ok': x.ok,"
+    f" 'n0': acc.n0 + CASE WHEN NOT {_OFF} AND ({_NEXT}) = 0 THEN 1 ELSE 0 END, 'n1': acc.n1 + CASE WHEN NOT {_OFF} AND ({_NEXT}) = 1 THEN 1 ELSE 0 END, 'n2': acc.n2 + CASE WHEN {_OFF} THEN 1 ELSE 0 END}}) AS z FROM l),"
+    " u AS (SELECT service, 'closed' AS state, true AS allowed, CAST(z.n0 AS BIGINT) AS n FROM r UNION ALL SELECT service, 'open', true, z.n1 FROM r UNION ALL SELECT service, 'open', false, z.n2 FROM r) SELECT * FROM u WHERE n > 0"
+)
 def circuit_breaker(s: SparkSession, d: str) -> DataFrame:
-    calls = _log(s, d).select(F.coalesce("resource_type", F.lit("service")).alias("service"), "ts", F.col("id").alias("seq"), (F.col("status_code") < 500).alias("ok")).distinct()
+    calls = _log(s, d).where("id IS NOT NULL").select(F.coalesce("resource_type", F.lit("service")).alias("service"), "ts", F.col("id").alias("seq"), (F.col("status_code") < 500).alias("ok")).distinct()
     return state.breaker(calls).groupBy("service", "state", "allowed").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -56,10 +56,17 @@ def lanes(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
+#: Partitions from which on a table is left as it is read.
+FEW = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores: a small file of long texts is one partition otherwise. Large tables stay as read."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= n else df.repartition(n)
+    """df over at least as many partitions as there are cores, if it comes in very few: a small file of long texts is one partition otherwise.
+
+    Larger tables stay as read, so no text of them moves.
+    """
+    n, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df if n >= min(cores, FEW) else df.repartition(cores)
 
 
 def bounded(df: DataFrame, most: int, what: str) -> DataFrame:

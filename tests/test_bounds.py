@@ -24,3 +24,15 @@ def test_bounds_raise(spark, tmp_path):
     many.select(F.col("id").cast("int").alias("catalog_ord"), F.lit("general").alias("domain"), F.struct(F.lit(1.0).alias("f1_score")).alias("performance")).write.parquet(f"{tmp_path}/model_catalog.parquet")
     with pytest.raises(ValueError, match="more than 10000"):
         QUERIES["ensemble_majority"](spark, str(tmp_path))
+
+
+def test_no_folder_of_this_machine_on_a_cluster(monkeypatch):
+    """Where the session names no shared folder, only a local one gets a folder of its own."""
+    from types import SimpleNamespace
+
+    from lectern.session import shared_folder
+
+    unset = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *_: None)))

@@ -176,3 +176,24 @@ def test_financial_rules_match_plain(spark):
                     kept.append((r.type, m.start(), m.end()))
         got = [(x.entity_type, x.start, x.end) for x in patterns.extract(df.where(f"id = {i}"), rules, "id", "text").collect()]
         assert sorted(got, key=lambda x: x[1]) == sorted(kept, key=lambda x: x[1])
+
+
+def test_breaker_in_stretches_matches_whole(spark):
+    from lectern.operators.state import Breaker
+
+    r = random.Random(6)
+    rows, at = [], {"a": 0.0, "b": 0.0}
+    for i in range(900):
+        s = "a" if r.random() < 0.8 else "b"
+        at[s] += r.choice([0, 1, 5, 20, 59.5, 60, 200])
+        rows.append((s, at[s], i, r.random() < 0.55))
+    want = {}
+    for s in at:
+        b = Breaker(3, 60.0)
+        for _, t, i, ok in [x for x in rows if x[0] == s]:
+            want[i] = b.call(t, ok)
+    df = spark.createDataFrame(rows, "service string, at double, seq long, ok boolean").select("service", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts"), "seq", "ok")
+    for chunk in (7, 64, 10_000):
+        got = {x.seq: (x.allowed, x.state) for x in state.breaker(df.repartition(3), threshold=3, chunk=chunk).collect()}
+        assert got == want
+    assert state.breaker(df.limit(0)).count() == 0
