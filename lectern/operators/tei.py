@@ -104,9 +104,7 @@ def inline_body() -> Column:
         upto = let(bounds, lambda b: ranks(F.concat(b, F.array(F.lit(2147483647))), F.transform(w, lambda e: e["start"])))
         return let(upto, lambda r: F.array_join(F.transform("sentences", lambda s, k: let(F.slice(w, F.get(r, k) + 1, F.greatest(F.get(r, k + 1) - F.get(r, k), F.lit(0))), lambda mine: sentence(s, k, mine))), ""))
 
-    plain = F.array_join(F.transform("sentences", lambda s, k: sentence(s, k, F.slice("entities", 1, 0))), "")
-    body = F.when(F.size("entities") == 0, plain).otherwise(let(_wrapping(), whole))
-    return F.concat(_line(2, '<tei:div type="chapter" n="1">'), body, _line(2, "</tei:div>"))
+    return F.concat(_line(2, '<tei:div type="chapter" n="1">'), let(_wrapping(), whole), _line(2, "</tei:div>"))
 
 
 def standoff_body() -> Column:
@@ -226,8 +224,10 @@ def converted(docs: DataFrame, made_at: Column) -> DataFrame:
     deps = F.col("dependencies")
     stand = lambda *parts: F.concat(_line(2, "<tei:standOff>"), *parts, _line(2, "</tei:standOff>"))
     within = lambda inner: F.concat(_line(1, "<tei:text>"), _line(2, "<tei:body>"), inner, _line(2, "</tei:body>"))
-    body = F.when(strategy == "standoff", F.concat(within(standoff_body()), stand(standoff_entities(), standoff_tokens(), standoff_links(deps))))
-    body = body.when(strategy == "inline", within(inline_body())).otherwise(F.concat(within(inline_body()), stand(standoff_links(deps))))
+    links = standoff_links(deps)
+    # inline or, for mixed and any other strategy, inline with the links apart
+    inline = F.concat(within(inline_body()), F.when(strategy != "inline", stand(links)).otherwise(""))
+    body = F.when(strategy == "standoff", F.concat(within(standoff_body()), stand(standoff_entities(), standoff_tokens(), links))).otherwise(inline)
     ref = F.when(F.col("schema.schema_ref").isNotNull(), F.concat(F.lit(' schemaRef="'), xml_escaped(F.col("schema.schema_ref")), F.lit('"'))).otherwise("")
     root = F.concat(F.lit(f'<?xml version="1.0" encoding="UTF-8"?>\n<tei:TEI xmlns:tei="{NAMESPACE}" version="5.0" xml:lang="en"'), ref, F.lit(">\n"))
     whole = F.concat(root, header(made_at), body, analysis(), _line(1, "</tei:text>"), F.lit("</tei:TEI>\n"))
