@@ -582,7 +582,22 @@ def hops_over_regions(s: SparkSession, d: str) -> DataFrame:
 # --- the whole pipeline -----------------------------------------------------------------------------------------------------------------
 
 
-@query()
+def _pipeline_sql() -> str:
+    own = ("medical", "legal", "financial")
+    part = {d: f"(SELECT id, text FROM processed_texts WHERE text IS NOT NULL AND domain = '{d}')" for d in own}
+    part["general"] = f"(SELECT id, text FROM processed_texts WHERE text IS NOT NULL AND coalesce(domain, '') NOT IN {own})"
+    ruled = " UNION ALL ".join(f"SELECT id AS doc_id, text FROM (WITH {_greedy_sql(t, 'id', rules_of(d))} SELECT id, text FROM kept)" for d, t in part.items())
+    return (
+        _LOOKUP.split(", x AS (")[0]
+        + ", dm AS (SELECT domain, count(*) AS n_models FROM model_catalog WHERE domain IS NOT NULL GROUP BY domain),"
+        " rep AS (SELECT m.doc_id, m.start_char, m.end_char, m.text, m.model_ord, m.ent_ord, dm.n_models FROM model_entities m JOIN processed_texts t ON t.id = m.doc_id JOIN model_catalog c ON c.catalog_ord = m.model_ord AND c.domain = t.domain JOIN dm ON dm.domain = t.domain),"
+        " ent AS (SELECT doc_id, arg_min(text, (model_ord, ent_ord)) AS text FROM rep WHERE n_models > 1 GROUP BY doc_id, start_char, end_char UNION ALL SELECT doc_id, text FROM rep WHERE n_models = 1 UNION ALL " + ruled + "),"
+        " hit AS (SELECT ent.doc_id, f.key IS NOT NULL AS found FROM ent LEFT JOIN f ON f.key = lower(regexp_replace(ent.text, '^[\\s\\x{00A0}\\x{2009}\\x{3000}]+|[\\s\\x{00A0}\\x{2009}\\x{3000}]+$', '', 'g')))"
+        " SELECT t.id AS doc_id, CAST(count(hit.doc_id) AS INTEGER) AS n_entities, round(coalesce(avg(CASE WHEN hit.found THEN 1 ELSE 0 END) FILTER (hit.doc_id IS NOT NULL), 0.0), 6) AS kb_hit_rate FROM processed_texts t LEFT JOIN hit ON hit.doc_id = t.id GROUP BY t.id"
+    )
+
+
+@query(_pipeline_sql())
 def pipeline_documents(s: SparkSession, d: str) -> DataFrame:
     """The pipeline of each domain over its texts: the stored reports of the domain's catalog models merged, rules, lookup, one row for each document.
 
