@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import subjects
 from lectern.operators import knowledge, tei
 from lectern.plans.registry import QUERIES
 
@@ -19,8 +18,6 @@ def test_bounds_raise(spark, tmp_path):
         tei.with_schema(text, many.select(name.alias("domain")))
     with pytest.raises(ValueError, match="more than 100000"):
         knowledge.incremental(kb, spark.range(100_001).select(name.alias("kb_id"), F.current_timestamp().alias("last_success")))
-    with pytest.raises(ValueError, match="more than 10000"):
-        subjects.fit(text, text, many.select(name.alias("subject")))
     many.select(F.col("id").cast("int").alias("catalog_ord"), F.lit("general").alias("domain"), F.struct(F.lit(1.0).alias("f1_score")).alias("performance")).write.parquet(f"{tmp_path}/model_catalog.parquet")
     with pytest.raises(ValueError, match="more than 10000"):
         QUERIES["ensemble_majority"](spark, str(tmp_path))
