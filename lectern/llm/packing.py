@@ -20,7 +20,8 @@ from pyspark.sql.window import Window
 GROUPS = 48
 #: Items above this share of the capacity are large.
 LARGE_SHARE = 1 / 8
-SALTS = 8
+#: Items of one size that one task numbers; a size of more is cut into lots of about so many.
+ROWS_PER_LOT = 1_000_000
 MAX_SPECS = 1000
 _SHIFT = 40
 
@@ -225,7 +226,7 @@ def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n
     that fill a container each (container d<doc>.<piece>) and the rest, which is packed like any other item (container c<number>).
     Defined cases: items of size 0 or null are piece 0 with no tokens, spread over the containers; a spec with a null or non-positive
     capacity has no rows; an empty table gives no rows; ties go by hash and key, so that a second run gives the same result.
-    sizes is read twice (counts, then places) and should be a stored table.
+    sizes is read twice (counts, then places; a third time where a size has more items than one task is to number) and should be a stored table.
     """
     spark = sizes.sparkSession
     listed = [(r[0], r[1]) for r in specs.select("spec_id", "capacity_tokens").where("capacity_tokens > 0").limit(MAX_SPECS + 1).collect()]
@@ -237,28 +238,35 @@ def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n
 
     n = F.coalesce(F.col(size), F.lit(0))
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity")) for i, c in listed))).alias("spec")
-    items = sizes.select(F.col(key), n.cast("int").alias("n"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt"), each).select(key, "n", "salt", "spec.spec_id", "spec.capacity")
+    items = sizes.select(F.col(key), n.cast("int").alias("n"), each).select(key, "n", "spec.spec_id", "spec.capacity")
     items = items.withColumn("rest", F.when(F.col("n") <= F.col("capacity"), F.col("n")).otherwise(F.col("n") % F.col("capacity")))
 
-    counted = items.where("n = 0 OR rest > 0").groupBy("spec_id", "rest", "salt").count()
-    rows = counted.collect()  # at most specs x (capacity + 1) x SALTS rows
-    offsets: dict[int, dict[tuple[int, int], int]] = {i: {} for i, _ in listed}
     histogram: dict[int, dict[int, int]] = {i: {} for i, _ in listed}
-    for r in sorted(rows, key=lambda r: (r["spec_id"], r["rest"], r["salt"])):
-        h = histogram[r["spec_id"]]
-        offsets[r["spec_id"]][(r["rest"], r["salt"])] = h.get(r["rest"], 0)
-        h[r["rest"]] = h.get(r["rest"], 0) + r["count"]
+    for r in items.where("n = 0 OR rest > 0").groupBy("spec_id", "rest").count().collect():  # at most specs x (capacity + 1) rows
+        histogram[r["spec_id"]][r["rest"]] = r["count"]
+    hot = [(i, s, -(-c // ROWS_PER_LOT)) for i, h in histogram.items() for s, c in h.items() if c > ROWS_PER_LOT]
+    hashed = F.xxhash64(key)
+    # items that fill containers of their own have no place to be numbered for
+    whole = F.when((F.col("n") > 0) & (F.col("rest") == 0), F.pmod(hashed, F.lit(1024)))
+    offsets: dict[int, dict[int, np.ndarray]] = {i: {} for i, _ in listed}
+    if hot:
+        lots = F.broadcast(spark.createDataFrame(hot, "spec_id int, rest int, lots int"))  # a row for each million items at most
+        items = items.join(lots, ["spec_id", "rest"], "left").withColumn("salt", F.coalesce(whole, F.pmod(hashed, F.col("lots")), F.lit(0)).cast("int"))
+        counts = items.where("lots IS NOT NULL AND (n = 0 OR rest > 0)").groupBy("spec_id", "rest", "lots", "salt").count().collect()
+        items = items.drop("lots")
+        for r in counts:
+            offsets[r["spec_id"]].setdefault(r["rest"], np.zeros(r["lots"], "int64"))[r["salt"]] = r["count"]
+        offsets = {i: {s: np.cumsum(c) - c for s, c in of.items()} for i, of in offsets.items()}
+    else:
+        items = items.withColumn("salt", F.coalesce(whole, F.lit(0)).cast("int"))
     plans, starts = {}, {}
     for i, capacity in listed:
         h = histogram[i]
         plans[i] = plan(np.array(list(h), "int64"), np.array(list(h.values()), "int64"), capacity)
-        table = np.zeros((capacity + 1, SALTS), "int64")
-        for (s, salt), o in offsets[i].items():
-            table[s, salt] = o
-        starts[i] = table
+        starts[i] = offsets[i]
     shared = spark.sparkContext.broadcast((plans, starts))
 
-    w = Window.partitionBy("spec_id", "rest", "salt").orderBy(key)
+    w = Window.partitionBy("spec_id", "rest", "salt", F.col("n") == 0).orderBy(key)
     ranked = items.withColumn("rn", F.row_number().over(w) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +276,11 @@ def pack(sizes: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "n
             place = np.zeros(b.num_rows, "int64")
             for i in np.unique(spec):
                 m = spec == i
-                place[m] = plans[int(i)].place(rest[m], starts[int(i)][rest[m], salt[m]] + rn[m])
+                rank = rn.copy()
+                for size_, before in starts[int(i)].items():
+                    hot_here = m & (rest == size_) & (salt < len(before))
+                    rank[hot_here] += before[salt[hot_here]]
+                place[m] = plans[int(i)].place(rest[m], rank[m])
             yield b.append_column("place", pa.array(place))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema)

@@ -58,8 +58,10 @@ def test_plan_is_close_to_the_bound():
     assert packing.plan(u, c, 2048).containers <= 1.02 * x.sum() / 2048
 
 
-def test_packing_table(spark):
-    sizes = [(i, n, 0) for i, n in enumerate([0, None, 3, 10, 10, 25, 30, 7, 7, 7] + [4] * 40)]
+@pytest.mark.parametrize("rows_per_lot", [1_000_000, 7])
+def test_packing_table(spark, monkeypatch, rows_per_lot):
+    monkeypatch.setattr(packing, "ROWS_PER_LOT", rows_per_lot)
+    sizes = [(i, n, 0) for i, n in enumerate([0, None, 3, 10, 10, 25, 30, 7, 7, 7] + [4] * 32 + [0] * 8)]
     specs = spark.createDataFrame([(1, 10), (2, 16), (3, None), (4, 0)], "spec_id int, capacity_tokens int")
     rows = packing.pack(spark.createDataFrame(sizes, "doc_id long, n_tokens int, spec_id int"), specs).collect()
     for s, cap in ((1, 10), (2, 16)):
